@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontamination
+from .fingerprint import op6_winnow_fingerprints
+from .hilbert_shards import op1_hilbert_shards
 from .license_scan import op10_license_scan
+from .line_dedup import SQL as LINE_DEDUP_SQL
+from .line_dedup import op7_line_dedup
+from .simhash import op5_simhash_dedup
 
 
 def queries() -> dict:
-    own = (op2_decontamination, op3_byte_bpe, op10_license_scan)
+    own = (op1_hilbert_shards, op2_decontamination, op3_byte_bpe, op5_simhash_dedup, op6_winnow_fingerprints, op7_line_dedup, op10_license_scan)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINE_DEDUP_SQL}
