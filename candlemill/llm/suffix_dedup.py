@@ -5,8 +5,8 @@ A byte goes if a DEPTH-byte string that covers it also starts anywhere else, sam
 Buckets. In each string of DEPTH bytes the K-gram with the smallest hash, the rightmost at ties, is its
 anchor; neighbouring positions with the same anchor form a run. Equal strings have equal anchors at equal
 offsets, so the suffixes that start in runs of one anchor are one bucket, and suffixes of different
-buckets never match. Anchors that occur once are done with after one count; if all runs of an anchor have
-the same bytes, all their positions repeat. The others' runs go on, one of each distinct one.
+buckets never match. Anchors that occur once are done with after one count; runs that have
+the same bytes as another run repeat as a whole. Of each distinct run in a bucket one goes on.
 
 Sorting. Buckets are sorted one block at a time. A suffix is compared by its first and last PERIOD bytes
 and, between them, by the rank of the cover sample inside it: the strings of DEPTH - PERIOD bytes at every
@@ -137,14 +137,13 @@ def repeated(keyed: DataFrame, depth: int = DEPTH, k: int = K) -> DataFrame:
     every = runs(keyed, depth, k)
     size = F.floor(F.col("shape") / depth).cast("int")
     # counts are added up before the shuffle, so a frequent anchor is one row from each task
-    stats = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("n > 1")
-    alive = every.join(stats.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor")
-    whole = alive.filter("same").select("row", "start", size.alias("size"))
-    mixed = alive.filter("NOT same")
-    kinds = mixed.groupBy("anchor", "chunk").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "shape")).alias("one"))
-    copied = mixed.join(kinds.filter("copies > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi").select("row", "start", size.alias("size"))
-    # one run of each kind, with its bucket's number of kinds
-    wide = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    often = every.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # what is left is a small part of all runs; each later step reads it from here
+    alive = every.join(often, "anchor", "left_semi").checkpoint()
+    kinds = alive.groupBy("anchor", "chunk").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "shape")).alias("one"))
+    copied = alive.join(kinds.filter("copies > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi").select("row", "start", size.alias("size"))
+    # one run of each kind, with its bucket's number of kinds; a kind alone in its bucket is done with
+    wide = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     ones = kinds.select("anchor", "one.*").join(wide, "anchor")
     # a document's own runs are gathered, which its text bounds
     asked = ones.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "shape", (F.col("kinds") > BUCKET_LIMIT).alias("far"))).alias("asked"))
@@ -203,7 +202,7 @@ def repeated(keyed: DataFrame, depth: int = DEPTH, k: int = K) -> DataFrame:
     places = cut(True)
     again = places.groupBy("bucket", "more").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     far = places.join(again.drop("n"), ["bucket", "more"], "left_semi").select("row", "start", F.lit(1).alias("size"))
-    return whole.unionByName(copied).unionByName(near).unionByName(far)
+    return copied.unionByName(near).unionByName(far)
 
 
 def keys(documents: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
