@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Largest number of transitions, states and remembered pieces in one Python worker.
-KEEP_TRANSITIONS, KEEP_PIECES = 600_000, 400_000
+KEEP_TRANSITIONS, KEEP_PIECES = 200_000, 120_000
 #: Longest piece that is remembered.
 LONG_PIECE = 48
 NO_TOKEN, LAST = -1, 1 << 60
@@ -55,16 +55,18 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.words = ranks, {i: w for w, i in ranks.items()}
         self.sizes = {i: len(w) for w, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]  # a trie of the vocabulary
+        self.children: dict[int, int] = {}  # a trie of the vocabulary: node << 8 | byte -> node
+        self.inner: list[bool] = [False]
         self.token_at: list[int] = [-1]
         self.depth: list[int] = [0]
         for word, i in ranks.items():
             node = 0
             for b in word:
-                nxt = self.children[node].get(b)
+                nxt = self.children.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    nxt = self.children[node << 8 | b] = len(self.inner)
+                    self.inner[node] = True
+                    self.inner.append(False)
                     self.token_at.append(-1)
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
@@ -149,10 +151,10 @@ class Transducer:
         """The next state, and the token that ends the merged form of what was read with this byte."""
         state, closing = [], NO_TOKEN
         for node, last in self.states[number]:
-            nxt = self.children[node].get(byte)
+            nxt = self.children.get(node << 8 | byte)
             if nxt is None:
                 continue
-            if self.children[nxt]:
+            if self.inner[nxt]:
                 state.append((nxt, last))
             token = self.token_at[nxt]
             if token >= 0 and closing < 0 and (self.may_follow(last, token) if last != NO_TOKEN else self.spines(token) is not None):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, gram_hashes, parallelism, window_min_positions
+from .common import ASCII_LOWER, WORD, gram_hashes, window_min_positions
 
 WINDOW, K = 13, 7
 W = WINDOW - K + 1
@@ -44,7 +44,6 @@ class Block:
         number = self.vocabulary.setdefault
         kinds: dict[tuple[int, ...], int] = {}  # distinct windows
         holders: list[set] = []
-        prints: dict[int, set[int]] = {}
         self.short: dict[int, dict[tuple[int, ...], int]] = {}
         for item, words in items:
             ids = [number(w, len(self.vocabulary)) for w in words]
@@ -62,7 +61,6 @@ class Block:
         self.holders = [sorted(map(str, h)) for h in holders]
         self.windows = kinds
         long = [w for w in kinds if len(w) == WINDOW]
-        del prints
         # the fingerprint of a window is the minimum of its W K-grams, the rightmost at ties
         if long:
             flat = np.array(long, np.int64).reshape(-1)
@@ -127,26 +125,48 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
     yield block
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns but the text's, and _n_words, _spans (maximal hit runs [start, end), flat) and _items of each row."""
-    sc = documents.sparkSession.sparkContext
+def hits(documents: DataFrame, block: list, text: str = "text", final: bool = False) -> DataFrame:
+    """The columns but the text's, with _n_words, _spans (maximal hit runs [start, end), flat) and _items of one
+    block of test items; with final, what ``flag`` returns instead."""
+    shared = documents.sparkSession.sparkContext.broadcast(Block(block))
     names = [c for c in documents.columns if c != text]
-    kept = documents.select(*[f"`{c}`" for c in names], text).withColumnRenamed(text, "_text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + ["_n_words bigint", "_spans array<int>", "_items array<string>"])
-    parts = []
-    for block in _blocks(benchmark, item, item_text):
-        shared = sc.broadcast(Block(block))
+    kept = documents.select(*[f"`{c}`" for c in names], F.col(f"`{text}`").alias("_text"))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"]
+
+    def run(batches):
+        test = shared.value
+        for batch in batches:
+            lists = [words_of(t.as_py()) for t in batch.column("_text")]
+            spans, items = scan_batch(test, lists)
+            columns, sizes = [batch.column(c) for c in names], [len(x) for x in lists]
+            if final:
+                yield pa.RecordBatch.from_arrays(columns + judged(sizes, spans, items), names=[*names, *VERDICT])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "_n_words", "_spans", "_items"])
+
+    return kept.mapInArrow(run, ", ".join(own + ([f"{k} {v}" for k, v in VERDICT.items()] if final else ["_n_words bigint", "_spans array<int>", "_items array<string>"])))
 
-        def run(batches, shared=shared):
-            own = shared.value
-            for batch in batches:
-                lists = [words_of(t.as_py()) for t in batch.column("_text")]
-                spans, items = scan_batch(own, lists)
-                columns = [batch.column(c) for c in names] + [pa.array([len(x) for x in lists], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "_n_words", "_spans", "_items"])
 
-        parts.append(kept.mapInArrow(run, schema))
-    return parts
+VERDICT = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
+
+
+def judged(n_words: list[int], spans: list[list[int]], items: list[list[str]]) -> list[pa.Array]:
+    """Columns of VERDICT; spans of several blocks may overlap."""
+    hit = []
+    for flat in spans:
+        total, end = 0, 0
+        for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
+            total += max(0, b - max(a, end))
+            end = max(end, b)
+        hit.append(total)
+    return [
+        pa.array(n_words, pa.int64()),
+        pa.array(hit, pa.int64()),
+        pa.array([len(x) for x in items], pa.int64()),
+        pa.array(items, pa.list_(pa.string())),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+        pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, n_words, strict=True)], pa.bool_()),
+    ]
 
 
 def scan_batch(block: Block, lists: list[list[str]]) -> tuple[list[list[int]], list[list[str]]]:
@@ -178,56 +198,32 @@ def scan_batch(block: Block, lists: list[list[str]]) -> tuple[list[list[int]], l
     return spans, items
 
 
-def flag(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def flag(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document: its other columns, n_words, n_hit, n_items, items, items_sha256, contaminated."""
-    parts = hits(documents, benchmark, text)
-    rows = parts[0]
-    if len(parts) > 1:
-        # identical rows are merged into one by their columns and number, so each gets a number first
-        numbered = documents.withColumn("_row", F.monotonically_increasing_id())
-        parts = hits(numbered, benchmark, text)
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        others = [c for c in numbered.columns if c not in (text, "_row")]
-        rows = (
-            rows.repartition(parallelism(documents.sparkSession), "_row")
-            .groupBy("_row")
-            .agg(
-                *[F.first(c).alias(c) for c in others],
-                F.max("_n_words").alias("_n_words"),
-                F.flatten(F.collect_list("_spans")).alias("_spans"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
-            )
-            .drop("_row")
-        )
+    blocks = _blocks(benchmark, item, item_text)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return hits(documents, block, text, final=True)
+    # several blocks: rows get a number, by which their hits are merged; the rows of one document are as many as blocks
     names = [c for c in documents.columns if c != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names] + ["n_words bigint", "n_hit bigint", "n_items bigint", "items array<string>", "items_sha256 string", "contaminated boolean"])
+    numbered = documents.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    rows = hits(numbered, block, text)
+    while following is not None:
+        rows, following = rows.unionByName(hits(numbered, following, text)), next(blocks, None)
+    merged = rows.groupBy("_row").agg(
+        *[F.first(f"`{c}`").alias(c) for c in names],
+        F.max("_n_words").alias("_n_words"),
+        F.flatten(F.collect_list("_spans")).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
+    )
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema if f.name in names]
 
     def finish(batches):
         for batch in batches:
-            hit, digest = [], []
-            n_words = batch.column("_n_words").to_pylist()
-            items = batch.column("_items").to_pylist()
-            for flat in batch.column("_spans").to_pylist():
-                total, end = 0, 0
-                for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                    total += max(0, b - max(a, end))
-                    end = max(end, b)
-                hit.append(total)
-            for x in items:
-                digest.append(hashlib.sha256(",".join(x).encode()).hexdigest())
-            columns = [batch.column(c) for c in names] + [
-                pa.array(n_words, pa.int64()),
-                pa.array(hit, pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array(digest, pa.string()),
-                pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, n_words, strict=True)], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
-
-    return rows.mapInArrow(finish, schema)
+            columns = judged(*(batch.column(c).to_pylist() for c in ("_n_words", "_spans", "_items")))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names=[*names, *VERDICT])
+
+    return merged.mapInArrow(finish, ", ".join(own + [f"{k} {v}" for k, v in VERDICT.items()]))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ is gathered in one place.
 
 The hash of a key has 128 bits. Null and empty texts have one empty line, which stays. Rows that repeat a
 doc_id count as one document. Null doc_ids: such rows keep all their lines and count for nothing. Extra
-columns pass through ``apply_bitmaps``; a column named keep is replaced.
+columns pass through ``apply_bitmaps``.
 """
 
 from __future__ import annotations
@@ -171,9 +171,9 @@ def kept_lines(text: str, bitmap: bytes | None) -> tuple[list[str], int]:
 
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text", doc: str = "doc_id", digest: bool = False) -> DataFrame:
     """Documents with the text that is left; with digest, doc_id, n_lines, n_dropped and kept_sha256 instead."""
-    names = [c for c in documents.columns if c != text and c != "keep"]
+    names = [c for c in documents.columns if c != text]
     keyed = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"), (F.col(f"`{doc}`")).alias("_doc"))
-    small = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "keep")
+    small = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("keep").alias("_bitmap"))
     joined = keyed.join(small, "_doc", "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in names]
     order = documents.columns if not digest else [*names, "n_lines", "n_dropped", "kept_sha256"]
@@ -182,7 +182,7 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text",
     def run(batches):
         for batch in batches:
             texts, totals, lost, hashes = [], [], [], []
-            for t, row, keep in zip(batch.column("_text"), batch.column("_row").to_pylist(), batch.column("keep").to_pylist(), strict=True):
+            for t, row, keep in zip(batch.column("_text"), batch.column("_row").to_pylist(), batch.column("_bitmap").to_pylist(), strict=True):
                 t = t.as_py()
                 if keep is not None and xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) != row:
                     # a bitmap of another text under the same doc_id; the row stands once for each, so only its own counts
@@ -201,7 +201,7 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text",
             else:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, text])
 
-    return joined.mapInArrow(run, schema).select(*[f"`{c}`" for c in order if c != "keep"])
+    return joined.mapInArrow(run, schema).select(*[f"`{c}`" for c in order])
 
 
 def dedup(documents: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
