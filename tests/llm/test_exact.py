@@ -238,9 +238,9 @@ def test_license_scan(spark, empty):
         6: "cc by nc sa 4.0",
     }
     got = by_id(license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
-    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (16, 3, 7, 14, "cc-by,reserved")
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (16, 3, 8, 14, "cc-by,reserved")
     assert got[1].labels == "apache-2.0,cc-by,reserved"
-    assert got[2].labels == "gpl,gpl-3" and got[2].n_base == 2 and got[2].last_word == 12
+    assert got[2].labels == "gpl,gpl-3" and got[2].n_base == 2 and got[2].last_word == 13
     assert (got[3].n_words, got[3].n_base, got[3].labels, got[3].score, got[3].first_word) == (0, 0, "", 0.0, None)
     assert got[4].labels == "" and got[5].labels == "mit" and got[5].score == 1.0
     assert got[6].labels == "cc-by,cc-by-nc-sa-4.0"
