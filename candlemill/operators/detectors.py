@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PatternConfig
-from .features import BY_TIME, flag
+from .features import by_time, flag
 
 NEEDED = ("open", "high", "low", "close", "bullish", "bearish", "body_ratio", "significant", "session_key", "bar_range")
 
@@ -17,7 +17,7 @@ def tolerance(level: Column, cfg: PatternConfig = PatternConfig()) -> Column:
 
 
 def with_neighbours(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"{c}_{k}": F.lag(c, k).over(BY_TIME) for k in (1, 2) for c in NEEDED})
+    return df.withColumns({f"{c}_{k}": F.lag(c, k).over(by_time()) for k in (1, 2) for c in NEEDED})
 
 
 def bar_patterns(df: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
@@ -52,10 +52,10 @@ def bar_patterns(df: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFra
 
 def raw_breaks(df: DataFrame) -> DataFrame:
     """Level crossings with enough volume, before cooldown and suppression."""
-    same = F.col("session_key") == F.lag("session_key").over(BY_TIME)
-    before, loud = F.lag("close").over(BY_TIME), F.col("volume_strength") >= 1
-    up_ref = F.coalesce(F.lag("rolling_high").over(BY_TIME), F.col("rolling_high"))
-    down_ref = F.coalesce(F.lag("rolling_low").over(BY_TIME), F.col("rolling_low"))
+    same = F.col("session_key") == F.lag("session_key").over(by_time())
+    before, loud = F.lag("close").over(by_time()), F.col("volume_strength") >= 1
+    up_ref = F.coalesce(F.lag("rolling_high").over(by_time()), F.col("rolling_high"))
+    down_ref = F.coalesce(F.lag("rolling_low").over(by_time()), F.col("rolling_low"))
     kinds = F.array_compact(
         F.array(
             F.when(flag(same & loud & (F.col("close") > F.col("rolling_high")) & (before <= up_ref)), F.struct(F.lit("breakout").alias("pattern_id"), F.lit("Bullish").alias("bias"), F.col("rolling_high").alias("level"))),

@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EvaluationConfig
-from .features import BY_TIME
+from .features import by_time
 
 
 def outcomes(features: DataFrame, signals: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
     """One row for each signal and horizon. Forward windows are computed on the bars once, before the join."""
     ahead = {}
     for h in cfg.horizons:
-        frame = BY_TIME.rowsBetween(1, h)
-        ahead[f"exit_{h}"] = F.lead("close", h).over(BY_TIME)
+        frame = by_time().rowsBetween(1, h)
+        ahead[f"exit_{h}"] = F.lead("close", h).over(by_time())
         ahead[f"up_{h}"], ahead[f"down_{h}"] = F.max("high").over(frame), F.min("low").over(frame)
         for name, side, sign in (("bull", "high", 1), ("bear", "low", -1)):
             level = lambda r, s=sign: F.col("close") * (1 + s * r)
-            reach = lambda k, up, lv: F.lead("high", k).over(BY_TIME) >= lv if up else F.lead("low", k).over(BY_TIME) <= lv
+            reach = lambda k, up, lv: F.lead("high", k).over(by_time()) >= lv if up else F.lead("low", k).over(by_time()) <= lv
             for what, up, lv in (("target", sign > 0, level(cfg.target_return)), ("stop", sign < 0, level(-cfg.stop_return))):
                 ahead[f"{name}_{what}_{h}"] = reduce(lambda a, k, up=up, lv=lv: a.when(reach(k, up, lv), k), range(2, h + 1), F.when(reach(1, up, lv), 1))
     wide = features.select("symbol", "bar_index", "close", *[v.alias(k) for k, v in ahead.items()])

@@ -8,35 +8,42 @@ from pyspark.sql import functions as F
 from ..config import PatternConfig
 from .validate import segment
 
-BY_TIME = Window.partitionBy("symbol").orderBy("bar_start")
-BY_SESSION = Window.partitionBy("symbol", "session_date").orderBy("bar_start")
-BY_CLOCK = Window.partitionBy("symbol", "time_of_day").orderBy("bar_start")
+def by_time():
+    return Window.partitionBy("symbol").orderBy("bar_start")
+
+
+def by_session():
+    return Window.partitionBy("symbol", "session_date").orderBy("bar_start")
+
+
+def by_clock():
+    return Window.partitionBy("symbol", "time_of_day").orderBy("bar_start")
 
 
 def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def full(value: str, agg, n: int, w=BY_TIME) -> Column:
+def full(value: str, agg, n: int, w=None) -> Column:
     """An aggregate over the last n rows, null until there are n."""
-    frame = w.rowsBetween(1 - n, 0)
+    frame = (w or by_time()).rowsBetween(1 - n, 0)
     return F.when(F.count(value).over(frame) == n, agg(value).over(frame))
 
 
 def add_features(bars: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
     n = cfg.window
-    past = BY_TIME.rowsBetween(-n, -1)
+    past = by_time().rowsBetween(-n, -1)
     o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     df = bars.select(
         "*",
-        (F.row_number().over(BY_TIME) - 1).alias("bar_index"),
+        (F.row_number().over(by_time()) - 1).alias("bar_index"),
         F.abs(c - o).alias("body"),
         (h - low).alias("bar_range"),
         (h - F.greatest(o, c)).alias("upper_wick"),
         (F.least(o, c) - low).alias("lower_wick"),
         (c > o).alias("bullish"),
         (c < o).alias("bearish"),
-        (F.try_divide(c, F.lag("close").over(BY_TIME)) - 1).alias("bar_return"),
+        (F.try_divide(c, F.lag("close").over(by_time())) - 1).alias("bar_return"),
         F.date_format("bar_start", "yyyy-MM-dd").alias("session_date"),
         segment(F.col("bar_start")).alias("session_segment"),
         F.date_format("bar_start", "HH:mm").alias("time_of_day"),
@@ -52,18 +59,18 @@ def add_features(bars: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataF
         full("bar_return", F.stddev_samp, n).alias("volatility"),
         F.when(F.count("high").over(past) == n, F.max("high").over(past)).alias("rolling_high"),
         F.when(F.count("low").over(past) == n, F.min("low").over(past)).alias("rolling_low"),
-        F.max("high").over(BY_TIME.rowsBetween(-cfg.level_window, -1)).alias("resistance"),
-        F.min("low").over(BY_TIME.rowsBetween(-cfg.level_window, -1)).alias("support"),
+        F.max("high").over(by_time().rowsBetween(-cfg.level_window, -1)).alias("resistance"),
+        F.min("low").over(by_time().rowsBetween(-cfg.level_window, -1)).alias("support"),
     )
-    same_clock = BY_CLOCK.rowsBetween(-5, -1)
-    so_far = BY_SESSION.rowsBetween(Window.unboundedPreceding, 0)
+    same_clock = by_clock().rowsBetween(-5, -1)
+    so_far = by_session().rowsBetween(Window.unboundedPreceding, 0)
     df = df.select(
         "*",
-        F.avg("close").over(BY_SESSION.rowsBetween(-19, 0)).alias("session_ma_20"),
+        F.avg("close").over(by_session().rowsBetween(-19, 0)).alias("session_ma_20"),
         F.max("high").over(so_far).alias("session_high"),
         F.min("low").over(so_far).alias("session_low"),
         F.first("open").over(so_far).alias("session_open"),
-        (F.row_number().over(BY_SESSION) - 1).alias("session_position"),
+        (F.row_number().over(by_session()) - 1).alias("session_position"),
         F.when(F.count("volume").over(same_clock) >= 3, F.avg("volume").over(same_clock)).alias("clock_volume"),
     )
     base = F.coalesce("clock_volume", "rolling_volume")
@@ -83,27 +90,27 @@ def add_features(bars: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataF
 
 def swing_flags(df: DataFrame) -> DataFrame:
     """swing_*: strictly beyond both neighbours on each side; pivot_*: strictly on the left only."""
-    side = lambda c, k: (F.lag(c, -k) if k < 0 else F.lag(c, k)).over(BY_TIME)
+    side = lambda c, k: (F.lag(c, -k) if k < 0 else F.lag(c, k)).over(by_time())
     out = {}
     for name, c, beyond, reach in (("high", "high", lambda a, b: a > b, lambda a, b: a >= b), ("low", "low", lambda a, b: a < b, lambda a, b: a <= b)):
         left = [beyond(F.col(c), side(c, k)) for k in (1, 2)]
-        right = [(F.lead(c, k).over(BY_TIME)) for k in (1, 2)]
+        right = [(F.lead(c, k).over(by_time())) for k in (1, 2)]
         out[f"swing_{name}"] = flag(left[0] & left[1] & beyond(F.col(c), right[0]) & beyond(F.col(c), right[1]))
         out[f"pivot_{name}"] = flag(left[0] & left[1] & reach(F.col(c), right[0]) & reach(F.col(c), right[1]))
     return df.withColumns(out)
 
 
 def regression_slope(df: DataFrame, n: int = 20) -> DataFrame:
-    frame = BY_TIME.rowsBetween(1 - n, 0)
+    frame = by_time().rowsBetween(1 - n, 0)
     return df.withColumn("slope", F.when(F.count("close").over(frame) == n, F.regr_slope("close", "bar_index").over(frame)))
 
 
 def break_structure(df: DataFrame) -> DataFrame:
     """Crossings of the rolling levels within a session, with their base score."""
-    same = F.col("session_key") == F.lag("session_key").over(BY_TIME)
-    before = F.lag("close").over(BY_TIME)
-    up_ref = F.coalesce(F.lag("rolling_high").over(BY_TIME), F.col("rolling_high"))
-    down_ref = F.coalesce(F.lag("rolling_low").over(BY_TIME), F.col("rolling_low"))
+    same = F.col("session_key") == F.lag("session_key").over(by_time())
+    before = F.lag("close").over(by_time())
+    up_ref = F.coalesce(F.lag("rolling_high").over(by_time()), F.col("rolling_high"))
+    down_ref = F.coalesce(F.lag("rolling_low").over(by_time()), F.col("rolling_low"))
     up = flag(same & (F.col("close") > F.col("rolling_high")) & (before <= up_ref))
     down = flag(same & (F.col("close") < F.col("rolling_low")) & (before >= down_ref))
     out = df.withColumns({"break_up": up, "break_down": down})
