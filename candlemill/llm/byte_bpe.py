@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Largest number of transitions, states and remembered pieces in one Python worker.
-KEEP_TRANSITIONS, KEEP_PIECES = 300_000, 200_000
+KEEP_TRANSITIONS, KEEP_PIECES = 400_000, 300_000
 #: Longest piece that is remembered.
 LONG_PIECE = 48
 NO_TOKEN, LAST = -1, 1 << 60
