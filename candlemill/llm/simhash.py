@@ -10,9 +10,9 @@ listed under the seven segments from each start (28 bits); fingerprints in one l
 the next eight segments stay within one bit, and only then by all bits.
 
 Distinct fingerprints are compared, so copies cost nothing. Lists longer than LIST_LIMIT are not compared
-pair by pair: their members meet at the points one bit away from each in the bits outside the key, 37
-points for each; members link exactly if they share a point at distance one from both, or lie at distance
-one, so a star over each point gives the same components. These points are spread as rows, no list is
+pair by pair: their members meet at themselves and the points one bit away, 65 points for each however
+many long lists it is in; fingerprints differ in at most two bits exactly if they share such a point, so a
+star over each point gives the same components. These points are spread as rows, no list is
 gathered.
 
 Components: the smallest label spreads over links by hooking and pointer jumping, with a checkpoint in
@@ -128,16 +128,15 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(values[same], values[same + d])), pa.array(np.maximum(values[same], values[same + d]))], names=["a", "b"])
 
     near = short.mapInArrow(compare, "a long, b long").dropDuplicates()
-    # long lists: the key fixes 28 bits, so members differ in the other bits only
-    rest = BITS - equal * width
-    one = lambda b: F.expr(f"shiftleft(cast(1 as bigint), (({rest - 1 - b}) - cast(shiftright(key, 40) as int) * {width} + 128) % 64)")
-    long_lists = shared.filter(F.col("size") > LIST_LIMIT).repartition(n, "fp", "key")
-    points = long_lists.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(one(b)) for b in range(rest)])).alias("point"))
+    # long lists: each member once, however many long lists it is in, as itself and its 64 neighbours
+    long_lists = shared.filter(F.col("size") > LIST_LIMIT).select("fp").distinct().repartition(n, "fp")
+    bits = [1 << b for b in range(BITS - 1)] + [-(1 << (BITS - 1))]
+    points = long_lists.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(b).cast("long")) for b in bits])).alias("point"))
     if budget == 2:
         heads = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top")
         met = points.join(heads, "point").filter("fp > a").select("a", F.col("fp").alias("b"))
     else:
-        met = long_lists.select("fp").distinct().withColumnRenamed("fp", "point").join(points, "point").filter("fp <> point").select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
+        met = long_lists.withColumnRenamed("fp", "point").join(points, "point").filter("fp <> point").select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
     return near.unionByName(met.dropDuplicates()).dropDuplicates()
 
 
