@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PatternConfig
@@ -89,7 +89,71 @@ def double_setups(df: DataFrame, top: bool = True, cfg: PatternConfig = PatternC
     neck = inside.groupBy("symbol", "i1", "i2", "p1", "p2", "second_start").agg(pick.alias("neckline"))
     edge = F.least("p1", "p2") if top else F.greatest("p1", "p2")
     depth = (edge - F.col("neckline")) / edge if top else (F.col("neckline") - edge) / F.col("neckline")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("symbol", "i1").orderBy("i2")
     return neck.withColumn("depth", depth).filter(F.col("depth") >= cfg.double_depth).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+COOLDOWN = 3
+
+
+def breaks(df: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
+    """Breakouts and breakdowns that remain after the cooldown and while no earlier level is still broken.
+
+    Only crossings and changes of the session matter to the state, so only those rows are shuffled; they
+    stream through each partition in order with one small state for each symbol and side.
+    """
+    past = lambda c, k=1: F.lag(c, k).over(by_time())
+    changed = ~flag(F.col("session_key") == past("session_key"))
+    loud, sides = F.col("volume_strength") >= 1, []
+    for name, bias, level, sign in (("breakout", "Bullish", "rolling_high", 1), ("breakdown", "Bearish", "rolling_low", -1)):
+        ref = F.col(level)
+        before = F.coalesce(past(level), ref)
+        crossed = flag(loud & ((F.col("close") - ref) * sign > 0) & ((past("close") - before) * sign <= 0)) & ~changed
+        tol = tolerance(ref, cfg)
+        strong = F.col("strong_volume") | F.col("strong_range") | flag(F.abs(F.col("close") - ref) / tol >= 2.5)
+        sides.append(F.when(ref.isNotNull() & (crossed | changed), F.struct(F.lit(name).alias("pattern_id"), F.lit(bias).alias("bias"), ref.alias("level"), (ref + tol * sign).alias("edge"), F.lit(sign).alias("sign"), past("close").alias("before"), crossed.alias("crossed"), strong.alias("strong"))))
+    d = df.withColumn("_sides", F.array_compact(F.array(*sides)))
+    sparse = d.select("symbol", "bar_start", "bar_index", F.inline("_sides")).repartition("symbol", "pattern_id").sortWithinPartitions("symbol", "pattern_id", "bar_index")
+
+    def fold(batches):
+        key, wait, edge = None, 0, None
+        for batch in batches:
+            keep = []
+            for r in batch.itertuples(index=False):
+                if (r.symbol, r.pattern_id) != key:
+                    key, wait, edge = (r.symbol, r.pattern_id), 0, None
+                fires = False
+                if r.bar_index >= wait:
+                    if not r.crossed:
+                        edge = None
+                    elif edge is None or (r.before - edge) * r.sign < 0:
+                        fires, edge, wait = True, r.edge, r.bar_index + COOLDOWN + 1
+                keep.append(fires)
+            yield batch[keep][["symbol", "bar_start", "bar_index", "pattern_id", "bias", "level", "strong"]]
+
+    return sparse.mapInPandas(fold, "symbol string, bar_start timestamp_ntz, bar_index int, pattern_id string, bias string, level double, strong boolean")
+
+
+WATCH = 24
+
+
+def double_outcomes(df: DataFrame, top: bool = True, cfg: PatternConfig = PatternConfig()) -> DataFrame:
+    """Each double setup with its status (tentative, confirmed, failed, expired) and the bar that decided it.
+
+    A setup is known pivot_bars after its second pivot. The bars watched are listed by index, so they
+    join on (symbol, bar_index) and a setup meets at most WATCH rows.
+    """
+    setups = double_setups(df, top, cfg)
+    at_second = df.select("symbol", F.col("bar_index").alias("i2"), "atr", "bar_range", (F.count(F.lit(1)).over(Window.partitionBy("symbol")) - 1).alias("last"))
+    s = setups.join(at_second, ["symbol", "i2"]).withColumn("known", F.col("i2") + cfg.pivot_bars).filter("known <= last")
+    s = s.withColumns({"outer": F.greatest("p1", "p2") if top else F.least("p1", "p2"), "tol": tolerance(F.col("neckline"), cfg)}).withColumn("outer_tol", tolerance(F.col("outer"), cfg))
+    watched = s.select("symbol", "i1", "i2", "neckline", "outer", "tol", "outer_tol", F.explode(F.sequence(F.col("known") + 1, F.col("known") + WATCH)).alias("bar_index"))
+    sign = 1 if top else -1
+    there = (F.col("neckline") - F.col("close")) * sign > F.col("tol")
+    gone = (F.col("close") - F.col("outer")) * sign > F.col("outer_tol")
+    hits = watched.join(df.select("symbol", "bar_index", "close"), ["symbol", "bar_index"]).filter(there | gone)
+    first = hits.groupBy("symbol", "i1", "i2").agg(F.min_by(F.when(there, "confirmed").otherwise("failed"), "bar_index").alias("met"), F.min("bar_index").alias("at"))
+    out = s.join(first, ["symbol", "i1", "i2"], "left")
+    over = F.col("known") + WATCH
+    status = F.coalesce("met", F.when(over <= F.col("last"), "expired").otherwise("tentative"))
+    return out.select("symbol", "i1", "i2", "neckline", "known", status.alias("status"), F.coalesce("at", F.when(over <= F.col("last"), over)).alias("decided"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.bar_queries import QUERIES, feats
 from .plans.bar_sql import SQL
+from .plans.trend_queries import QUERIES as TREND_QUERIES
+from .plans.trend_sql import SQL as TREND_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | TREND_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | TREND_SQL
