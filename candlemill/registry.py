@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.bar_queries import QUERIES, feats
 from .plans.bar_sql import SQL
+from .plans.signal_queries import QUERIES as SIGNAL_QUERIES
+from .plans.signal_sql import SQL as SIGNAL_SQL
 from .plans.trend_queries import QUERIES as TREND_QUERIES
 from .plans.trend_sql import SQL as TREND_SQL
 
@@ -18,8 +20,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | TREND_QUERIES
+    return QUERIES | TREND_QUERIES | SIGNAL_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | TREND_SQL
+    return SQL | TREND_SQL | SIGNAL_SQL
