@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import signals, trend
+from ..operators import lifecycle, signals, trend
 from .bar_queries import feats, rounded
 
 
@@ -29,4 +29,13 @@ def signal_scores(spark, sf):
     return rounded(signals.scores(signals.primaries(signals.all_events(f)), trend.broad(f)), "bullish", "bearish", "volume", "net")
 
 
-QUERIES = {f.__name__: f for f in (market_context_counts, group_primary_top1, cluster_islands, signal_scores)}
+def lifecycle_states(spark, sf):
+    f = feats(spark, sf)
+    return lifecycle.states(f, signals.primaries(signals.all_events(f))).drop("max_age", "last")
+
+
+def lifecycle_counts(spark, sf):
+    return lifecycle_states(spark, sf).groupBy("pattern_id", "bias", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (market_context_counts, group_primary_top1, cluster_islands, signal_scores, lifecycle_states, lifecycle_counts)}

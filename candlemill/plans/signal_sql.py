@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.signals import WEIGHTS
 from .bar_sql import FEATURES
-from .trend_sql import BREAKS, BROAD, REJECTIONS
+from .trend_sql import BREAKS, BROAD, REJECTIONS, TOLERANCE
 
 TABLE = ", ".join(f"('{k}', {b}, {p}, {s}, {a})" for k, (b, p, s, a) in WEIGHTS.items())
 EVENTS = f"""WITH raw AS (
@@ -16,7 +16,35 @@ EVENTS = f"""WITH raw AS (
       CASE WHEN pattern_id IN ('bullish_pin_bar', 'hammer', 'shooting_star') THEN CASE bias WHEN 'Bearish' THEN high WHEN 'Bullish' THEN low END END AS zone
     FROM raw JOIN (VALUES {TABLE}) w(pattern_id, base, priority, specificity, max_age) USING (pattern_id) JOIN (WITH {FEATURES} SELECT symbol, bar_index, high, low, volume_strength FROM f) USING (symbol, bar_index)),
   first AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY symbol, bar_start, kind ORDER BY CASE status WHEN 'confirmed' THEN 0 WHEN 'tentative' THEN 1 ELSE 2 END, bias = 'Neutral', specificity DESC, name LIKE '%Rejection', priority, base DESC, name, pattern_id) = 1)"""
+STATES = f"""{EVENTS}, b AS (WITH {FEATURES} SELECT symbol, bar_index, open, high, low, close, atr, bar_range, rolling_high, rolling_low, lag(close) OVER w AS pc,
+      least(low, lag(low) OVER w) AS l2, greatest(high, lag(high) OVER w) AS h2, min(low) OVER v AS l3, max(high) OVER v AS h3, max(bar_index) OVER (PARTITION BY symbol) AS last
+    FROM f WINDOW w AS (PARTITION BY symbol ORDER BY bar_index), v AS (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  own AS (SELECT e.symbol, e.bar_start, e.bar_index, kind, pattern_id, bias, max_age, b.* EXCLUDE (symbol, bar_index), CASE pattern_id WHEN 'breakout' THEN rolling_high WHEN 'breakdown' THEN rolling_low END AS level,
+      CASE WHEN pattern_id LIKE '%engulfing' OR pattern_id = 'inside_bar' THEN l2 WHEN pattern_id LIKE '%star' AND pattern_id <> 'shooting_star' OR pattern_id = 'inside_bar_failure' THEN l3 ELSE b.low END AS bottom,
+      CASE WHEN pattern_id LIKE '%engulfing' OR pattern_id = 'inside_bar' THEN h2 WHEN pattern_id LIKE '%star' AND pattern_id <> 'shooting_star' OR pattern_id = 'inside_bar_failure' THEN h3 ELSE b.high END AS top
+    FROM first e JOIN b USING (symbol, bar_index)),
+  zoned AS (SELECT *, level - {TOLERANCE.format(level='level')} AS zl, level + {TOLERANCE.format(level='level')} AS zu, {TOLERANCE.format(level='bottom')} AS bt, {TOLERANCE.format(level='top')} AS tt, {TOLERANCE.format(level='low')} AS lt, {TOLERANCE.format(level='high')} AS ht FROM own),
+  later AS (SELECT z.symbol, z.bar_index AS i, z.kind, x.bar_index AS j, x.bar_index > z.bar_index + 1 AND CASE pattern_id WHEN 'breakout' THEN x.close < zl AND x.pc < zl WHEN 'breakdown' THEN x.close > zu AND x.pc > zu END AS fail,
+      CASE pattern_id WHEN 'breakout' THEN x.close < zl WHEN 'breakdown' THEN x.close > zu END AS lose, CASE WHEN level IS NOT NULL THEN x.high >= zl AND x.low <= zu END AS touch,
+      CASE pattern_id WHEN 'breakout' THEN x.close >= level AND (x.close > zu OR (x.close > x.open AND x.low <= level)) WHEN 'breakdown' THEN x.close <= level AND (x.close < zl OR (x.close < x.open AND x.high >= level)) END AS reject,
+      CASE WHEN level IS NOT NULL THEN false WHEN pattern_id = 'bullish_pin_bar' THEN x.close < z.low WHEN pattern_id = 'shooting_star' THEN x.close > z.high WHEN bias = 'Bullish' THEN x.close < bottom - bt WHEN bias = 'Bearish' THEN x.close > top + tt ELSE false END AS bad,
+      CASE WHEN pattern_id IN ('hammer', 'bullish_pin_bar') THEN x.close > z.high + ht WHEN pattern_id = 'shooting_star' THEN x.close < z.low - lt ELSE false END AS good,
+      CASE WHEN pattern_id IN ('hammer', 'bullish_pin_bar') THEN x.low <= z.low + (z.high - z.low) * 0.35::DOUBLE AND x.close > z.low + (z.high - z.low) * 0.35::DOUBLE
+        WHEN pattern_id = 'shooting_star' THEN x.high >= z.high - (z.high - z.low) * 0.35::DOUBLE AND x.close < z.high - (z.high - z.low) * 0.35::DOUBLE ELSE false END AS again
+    FROM zoned z JOIN b x ON x.symbol = z.symbol AND x.bar_index > z.bar_index),
+  touched AS (SELECT *, min(CASE WHEN touch THEN j END) OVER (PARTITION BY symbol, i, kind) AS t FROM later),
+  met AS (SELECT symbol, i AS bar_index, kind, min(j) FILTER (WHERE fail) AS failed, min(j) FILTER (WHERE lose) AS lost, max(j) FILTER (WHERE lose) AS latest, any_value(t) AS back, min(j) FILTER (WHERE reject AND j >= t) AS rejected,
+      min(j) FILTER (WHERE bad) AS bad, min(j) FILTER (WHERE good) AS good, min(j) FILTER (WHERE again) AS again FROM touched GROUP BY ALL),
+  facts AS (SELECT o.*, failed, lost, latest, rejected, bad, good, CASE WHEN level IS NOT NULL THEN CASE WHEN lost IS NULL THEN back END WHEN bad IS NULL AND good IS NULL THEN again END AS retest FROM own o LEFT JOIN met USING (symbol, bar_index, kind)),
+  spent AS (SELECT *, CASE WHEN last - coalesce(CASE WHEN level IS NULL THEN retest END, bar_index) > max_age THEN least(last, coalesce(CASE WHEN level IS NULL THEN retest END, bar_index) + max_age + 1) END AS over FROM facts),
+  states AS (SELECT symbol, bar_start, bar_index, kind, pattern_id, bias, max_age, last,
+      CASE WHEN level IS NOT NULL THEN CASE WHEN failed IS NOT NULL THEN 'failed_' || pattern_id WHEN lost IS NOT NULL THEN 'reclaimed' WHEN rejected IS NOT NULL THEN 'retest_rejected' WHEN retest IS NOT NULL THEN 'retest_pending' WHEN over IS NOT NULL THEN 'expired' WHEN bar_index = last THEN 'new' ELSE 'active' END
+        WHEN bad <= coalesce(good, bad) THEN 'invalidated' WHEN good IS NOT NULL THEN 'directionally_confirmed' WHEN over IS NOT NULL THEN 'expired' WHEN bar_index = last THEN 'new' WHEN retest IS NOT NULL THEN 'retested' ELSE 'active' END AS state,
+      CASE WHEN level IS NOT NULL THEN CASE WHEN failed IS NOT NULL THEN failed WHEN lost IS NOT NULL THEN latest ELSE coalesce(rejected, retest, over, bar_index) END
+        WHEN bad <= coalesce(good, bad) THEN bad ELSE coalesce(good, over, retest, bar_index) END AS since, retest FROM spent)"""
 SQL = {
+    "lifecycle_states": f"{STATES} SELECT symbol, bar_start, bar_index, kind, pattern_id, bias, state, since, retest FROM states",
+    "lifecycle_counts": f"{STATES} SELECT pattern_id, bias, state, count(*) AS n FROM states GROUP BY ALL",
     "market_context_counts": f"{EVENTS} SELECT symbol, pattern_id, bias, status, count(*) AS n FROM ev GROUP BY ALL",
     "group_primary_top1": f"{EVENTS} SELECT symbol, bar_start, kind, pattern_id, name, bias, status, base FROM first",
     "cluster_islands": f"""{EVENTS}, z AS (SELECT a.*, lag(bar_index) OVER w AS i, lag(zone) OVER w AS y FROM first a WHERE zone IS NOT NULL WINDOW w AS (PARTITION BY symbol, bias ORDER BY bar_index)),
