@@ -199,7 +199,9 @@ def scan_batch(block: Block, lists: list[list[str]]) -> tuple[list[list[int]], l
 
 
 def flag(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document: its other columns, n_words, n_hit, n_items, items, items_sha256, contaminated."""
+    """One row for each document: its other columns, n_words, n_hit, n_items, items, items_sha256, contaminated.
+    Columns of documents that have one of these names are replaced."""
+    documents = documents.drop(*[c for c in VERDICT if c != text])
     blocks = _blocks(benchmark, item, item_text)
     block, following = next(blocks), next(blocks, None)
     if following is None:
