@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, signals, trend
+from ..operators import lifecycle, score, signals, trend
 from .bar_queries import feats, rounded
 
 
@@ -38,4 +38,23 @@ def lifecycle_counts(spark, sf):
     return lifecycle_states(spark, sf).groupBy("pattern_id", "bias", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (market_context_counts, group_primary_top1, cluster_islands, signal_scores, lifecycle_states, lifecycle_counts)}
+def _judged(f):
+    first = signals.primaries(signals.all_events(f))
+    return score.judged(f, first, lifecycle.states(f, first))
+
+
+def eligibility(spark, sf):
+    rows = _judged(feats(spark, sf)).select("symbol", "bar_start", "kind", "pattern_id", "state", "anchor", "age", "reason", "contribution", "volume")
+    return rounded(rows, "contribution", "volume")
+
+
+def market_assessment(spark, sf):
+    f = feats(spark, sf)
+    return rounded(score.assess(_judged(f), trend.broad(f)), "bullish", "bearish", "volume", "net", "conflict")
+
+
+def exclusion_reasons(spark, sf):
+    return _judged(feats(spark, sf)).groupBy("symbol", F.coalesce("reason", F.lit("counted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (market_context_counts, group_primary_top1, cluster_islands, signal_scores, lifecycle_states, lifecycle_counts, eligibility, market_assessment, exclusion_reasons)}

@@ -42,7 +42,30 @@ STATES = f"""{EVENTS}, b AS (WITH {FEATURES} SELECT symbol, bar_index, open, hig
         WHEN bad <= coalesce(good, bad) THEN 'invalidated' WHEN good IS NOT NULL THEN 'directionally_confirmed' WHEN over IS NOT NULL THEN 'expired' WHEN bar_index = last THEN 'new' WHEN retest IS NOT NULL THEN 'retested' ELSE 'active' END AS state,
       CASE WHEN level IS NOT NULL THEN CASE WHEN failed IS NOT NULL THEN failed WHEN lost IS NOT NULL THEN latest ELSE coalesce(rejected, retest, over, bar_index) END
         WHEN bad <= coalesce(good, bad) THEN bad ELSE coalesce(good, over, retest, bar_index) END AS since, retest FROM spent)"""
+JUDGED = f"""{STATES}, days AS (SELECT symbol, bar_index, (bar_start + INTERVAL '1 hour')::DATE AS day FROM (WITH {FEATURES} SELECT * FROM f)),
+  aged AS (SELECT a.*, state, s.last, CASE WHEN state IN ('retest_rejected', 'retest_pending', 'invalidated', 'failed_breakout', 'failed_breakdown', 'reclaimed') THEN since WHEN state = 'expired' THEN s.last ELSE a.bar_index END AS anchor FROM first a JOIN states s USING (symbol, bar_start, kind)),
+  dated AS (SELECT aged.*, last - anchor AS age, day, (SELECT max(day) FROM days d WHERE d.symbol = aged.symbol) AS last_day, status = 'tentative' AND state IN ('new', 'active', 'retested') AS pending FROM aged JOIN days ON days.symbol = aged.symbol AND days.bar_index = anchor),
+  reasoned AS (SELECT *, CASE WHEN day <> last_day THEN 'outside current trading session' WHEN bias = 'Neutral' THEN 'informational only' WHEN pending OR state = 'directionally_confirmed' THEN CASE WHEN age > max_age THEN 'outside scoring horizon' END
+      WHEN state IN ('expired', 'invalidated') THEN state WHEN state LIKE 'failed%' THEN replace(state, '_', ' ') WHEN state = 'reclaimed' THEN 'level reclaimed' WHEN status = 'tentative' THEN 'unconfirmed structural pattern' WHEN age > max_age THEN 'outside scoring horizon' END AS reason FROM dated),
+  worthy AS (SELECT *, CASE WHEN reason IS NULL THEN CASE bias WHEN 'Bullish' THEN 1 ELSE -1 END * pow(0.85::DOUBLE, age) ELSE 0 END AS unit FROM reasoned),
+  paid AS (SELECT *, unit * CASE WHEN pending THEN 1.5::DOUBLE ELSE base * CASE WHEN strong THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN status = 'tentative' THEN 0.5::DOUBLE ELSE 1 END END AS contribution, CASE WHEN loud AND NOT pending THEN unit * 2.5::DOUBLE ELSE 0 END AS vol FROM worthy),
+  judged AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol, bar_index, bias ORDER BY vol = 0, abs(contribution) DESC, priority, pattern_id) = 1 THEN vol ELSE 0 END AS volume FROM paid)"""
 SQL = {
+    "eligibility": f"{JUDGED} SELECT symbol, bar_start, kind, pattern_id, state, anchor, age, reason, round(contribution, 9) AS contribution, round(volume, 9) AS volume FROM judged",
+    "exclusion_reasons": f"{JUDGED} SELECT symbol, coalesce(reason, 'counted') AS reason, count(*) AS n FROM judged GROUP BY ALL",
+    "market_assessment": f"""{JUDGED}, broad AS ({BROAD}), trends AS (SELECT b.symbol, arg_max(b.trend, b.bar_start) AS trend FROM broad b GROUP BY 1),
+      live AS (SELECT * FROM judged WHERE reason IS NULL AND state IN ('new', 'active', 'retested', 'retest_pending', 'retest_rejected', 'directionally_confirmed')),
+      newest AS (SELECT symbol, pattern_id AS newest_id, state AS newest_state, age AS newest_age FROM live QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY age, priority, bar_index, pattern_id, bias) = 1),
+      turns AS (SELECT symbol, bool_or(pattern_id IN ('bullish_pin_bar', 'hammer')) AS turns_up, bool_or(pattern_id = 'shooting_star') AS turns_down FROM live GROUP BY 1),
+      sums AS (SELECT symbol, sum(greatest(contribution, 0)) AS bullish, sum(-least(contribution, 0)) AS bearish, sum(volume) AS volume, count(*) FILTER (WHERE reason IS NULL AND status = 'confirmed') AS confirmed FROM judged GROUP BY 1),
+      merged AS (SELECT symbol, trend, coalesce(bullish, 0)::DOUBLE AS bullish, coalesce(bearish, 0)::DOUBLE AS bearish, coalesce(volume, 0)::DOUBLE AS volume, coalesce(confirmed, 0) AS confirmed, turns_up, turns_down, newest_id, newest_state, newest_age FROM trends LEFT JOIN sums USING (symbol) LEFT JOIN newest USING (symbol) LEFT JOIN turns USING (symbol)),
+      netted AS (SELECT *, bullish - bearish AS p, bullish - bearish + volume + CASE trend WHEN 'Uptrend' THEN 12 WHEN 'Downtrend' THEN -12 ELSE 0 END AS net, CASE WHEN bullish > 0 AND bearish > 0 THEN least(bullish, bearish) / greatest(bullish, bearish) ELSE 0.0::DOUBLE END AS conflict FROM merged)
+      SELECT symbol, trend, round(bullish, 9) AS bullish, round(bearish, 9) AS bearish, round(volume, 9) AS volume, round(net, 9) AS net, round(conflict, 9) AS conflict,
+        CASE WHEN newest_id IS NULL THEN CASE WHEN trend = 'Neutral' THEN 'Neutral' ELSE 'Trend Only' END WHEN conflict >= 0.65 THEN 'Conflicted' WHEN newest_id = 'breakout' AND newest_age <= 3 THEN 'Breakout Attempt'
+          WHEN newest_id = 'breakdown' AND newest_age <= 3 AND newest_state = 'retest_pending' THEN 'Bearish Continuation Under Retest' WHEN newest_id = 'breakdown' AND newest_age <= 3 AND trend = 'Downtrend' THEN 'Breakdown Attempt'
+          WHEN trend = 'Downtrend' AND turns_up THEN 'Bearish Trend with Bullish Reversal Attempt' WHEN trend = 'Uptrend' AND turns_down THEN 'Bullish Trend with Bearish Reversal Attempt' WHEN trend = 'Uptrend' AND p > 0 THEN 'Bullish Continuation' WHEN trend = 'Downtrend' AND p < 0 THEN 'Bearish Continuation'
+          WHEN trend <> 'Neutral' AND p <> 0 THEN 'Reversal Watch' WHEN p > 0 THEN 'Bullish Setup' WHEN p < 0 THEN 'Bearish Setup' ELSE 'Neutral' END AS market_state,
+        CASE WHEN confirmed = 0 OR abs(net) < 12 OR conflict >= 0.65 THEN 'Neutral' WHEN net > 0 THEN 'Bullish' ELSE 'Bearish' END AS bias FROM netted""",
     "lifecycle_states": f"{STATES} SELECT symbol, bar_start, bar_index, kind, pattern_id, bias, state, since, retest FROM states",
     "lifecycle_counts": f"{STATES} SELECT pattern_id, bias, state, count(*) AS n FROM states GROUP BY ALL",
     "market_context_counts": f"{EVENTS} SELECT symbol, pattern_id, bias, status, count(*) AS n FROM ev GROUP BY ALL",
