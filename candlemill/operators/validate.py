@@ -64,3 +64,12 @@ def report(df: DataFrame, interval: str, as_of: str, order: str = "input_id") ->
         total.join(missing, "symbol", "left").join(bad, "symbol", "left").join(last, "symbol", "left")
         .select("symbol", "row_count", (F.col("row_count") - F.col("times")).alias("duplicate_count"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("missing_value_count", "invalid_ohlc_count", "irregular_gap_count", "completed_row_count")])
     )
+
+
+def latest_sessions(features: DataFrame, segments: tuple[str, ...] = SESSION_MODES["regular"]) -> DataFrame:
+    """The last session date of each symbol with a bar in the segments, the one before, and its bars of all segments."""
+    dates = features.filter(F.col("session_segment").isin(*segments)).groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.lead("session_date").over(Window.partitionBy("symbol").orderBy(F.col("session_date").desc()))
+    newest = dates.withColumn("previous_date", earlier).groupBy("symbol").agg(F.max("session_date").alias("session_date"), F.max_by("previous_date", "session_date").alias("previous_date"))
+    bars = features.groupBy("symbol", "session_date").agg(F.min("bar_start").alias("session_start"), F.max("bar_start").alias("last_bar"), F.count(F.lit(1)).alias("bars"))
+    return newest.join(bars, ["symbol", "session_date"])

@@ -10,6 +10,8 @@ from .plans.bar_queries import QUERIES, feats
 from .plans.bar_sql import SQL
 from .plans.signal_queries import QUERIES as SIGNAL_QUERIES
 from .plans.signal_sql import SQL as SIGNAL_SQL
+from .plans.source_queries import QUERIES as SOURCE_QUERIES
+from .plans.source_sql import SQL as SOURCE_SQL
 from .plans.trend_queries import QUERIES as TREND_QUERIES
 from .plans.trend_sql import SQL as TREND_SQL
 
@@ -20,8 +22,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | TREND_QUERIES | SIGNAL_QUERIES
+    return QUERIES | TREND_QUERIES | SIGNAL_QUERIES | SOURCE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | TREND_SQL | SIGNAL_SQL
+    return SQL | TREND_SQL | SIGNAL_SQL | SOURCE_SQL

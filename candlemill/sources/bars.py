@@ -18,10 +18,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_from_events(ticks: DataFrame, interval: str = "1h", symbol: str = "event_type", ts: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
-    """One bar for each symbol and interval with events. Partial sums meet in one shuffle on (symbol, start)."""
+    """One bar for each symbol and interval with events. Partial sums meet in one shuffle on (symbol, start).
+
+    The window itself is the key, so that a stream's watermark closes it."""
     first = F.struct(ts, order)
     return (
-        ticks.groupBy(F.col(symbol).alias("symbol"), F.window(ts, f"{INTERVAL_SECONDS[interval]} seconds").start.alias("bar_start"))
+        ticks.groupBy(F.col(symbol).alias("symbol"), F.window(ts, f"{INTERVAL_SECONDS[interval]} seconds").alias("_window"))
         .agg(
             F.min_by(value, first).alias("open"),
             F.max(value).alias("high"),
@@ -29,6 +31,7 @@ def bars_from_events(ticks: DataFrame, interval: str = "1h", symbol: str = "even
             F.max_by(value, first).alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
+        .select("symbol", F.col("_window.start").alias("bar_start"), *CANONICAL[1:])
     )
 
 

@@ -98,7 +98,8 @@ def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for table in ("events", "customer", "nation"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     theirs = con.sql(registry.oracle_sql()[name])
     ours = registry.queries()[name](spark, SF)
     columns = sorted(ours.columns)
