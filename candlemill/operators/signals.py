@@ -1,7 +1,7 @@
 """Events of all detectors as one relation: evidence groups, clusters of repeated rejections, scores.
 
-The states that later bars give an event, the linking of doubles to breaks, and the quality of a context as
-a rank key are not part of this relation yet.
+States that later bars give an event are in lifecycle.py. The linking of doubles to breaks, and the quality of a
+context as a rank key, are not part of this relation yet.
 """
 
 from __future__ import annotations
