@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-Each rule has a keyword, a regular expression over the normalised words, a priority and a label. A text
-is first reduced to its words with single blanks; rules run only where their keyword occurs; each
+Each rule has keywords, one of which every match contains, a regular expression over the normalised words, a priority and a label. A text
+is first reduced to its words with single blanks; rules run only where one of their keywords occurs; each
 detection is an interval of words. A detection goes if a stronger one (smaller priority, or the same
 priority and at least as long) contains its interval. All of it happens inside the row: no shuffle.
 
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 # The phrases every scan reports, with their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Family: (words that name it, keyword that gates it, versions, label stem).
+#: Family: (keywords that gate it, between bars, words that name it, versions, label stem).
 FAMILIES = (
     ("apache", r"apache(?: software)?", ("1 0", "1 1", "2 0"), "apache"),
-    ("gnu", r"(?:gnu )?general public", ("1", "2", "2 0", "3", "3 0"), "gpl"),
+    ("general public", r"(?:gnu )?general public", ("1", "2", "2 0", "3", "3 0"), "gpl"),
     ("lesser", r"(?:gnu )?lesser general public", ("2 1", "3", "3 0"), "lgpl"),
     ("library", r"(?:gnu )?library general public", ("2", "2 0"), "lgpl"),
     ("affero", r"(?:gnu )?affero general public", ("1", "3", "3 0"), "agpl"),
@@ -43,7 +43,7 @@ FAMILIES = (
     ("isc", r"isc", (), "isc"),
     ("zlib", r"zlib(?: libpng)?", (), "zlib"),
     ("unlicense", r"unlicense", (), "unlicense"),
-    ("wtfpl", r"(?:do what the fuck you want to|wtf) public", (), "wtfpl"),
+    ("want to public|wtf public", r"(?:do what the fuck you want to|wtf) public", (), "wtfpl"),
 )
 #: What makes a named license a grant: text before the name, text after it, priority (smaller wins).
 GRANTS = (
@@ -61,7 +61,7 @@ SPDX = {
     "apache 2 0": "apache-2.0", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3.0", "agpl 3 0": "agpl-3.0", "mpl 2 0": "mpl-2.0", "epl 2 0": "epl-2.0",
     "mit": "mit", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "cc0 1 0": "cc0",
 }
-#: Single sentences of well-known texts: (keyword, expression, priority, label).
+#: Single sentences of well-known texts: (keywords, expression, priority, label).
 SENTENCES = (
     ("permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 1, "mit"),
     ("redistribution and use", r"redistribution and use in source and binary forms", 1, "bsd"),
@@ -69,15 +69,15 @@ SENTENCES = (
     ("provided as is", r"(?:software|work|material) is provided as is(?: without (?:any )?warranty)?", 4, "as-is"),
     ("without warranty", r"without warranty of any kind", 4, "as-is"),
     ("public domain", r"(?:released |dedicated |placed )?(?:in|into|to) the public domain", 2, "public-domain"),
-    ("cc0", r"(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", 1, "cc0"),
+    ("cc0|creative commons zero", r"(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", 1, "cc0"),
     ("creative commons", r"creative commons attribution(?: (?:non ?commercial|share ?alike|no ?deriv(?:ative)?s))*(?: [1-4] [05])?", 1, "cc-by"),
     ("no part of this", r"no part of this (?:publication|work|book|document) may be reproduced", 1, "reserved"),
-    ("rights reserved", r"(?:all|some) rights (?:are )?reserved", 2, "reserved"),
+    ("rights reserved|rights are reserved", r"(?:all|some) rights (?:are )?reserved", 2, "reserved"),
     ("proprietary", r"proprietary and confidential", 1, "proprietary"),
     ("confidential", r"strictly confidential", 3, "proprietary"),
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 4, "copyright"),
     ("non commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?", 3, "non-commercial"),
-    ("trade secret", r"contains trade secrets?", 2, "proprietary"),
+    ("contains trade", r"contains trade secrets?", 2, "proprietary"),
 )
 #: No rule can match a text in which none of these begins a word.
 GATES = ("licen", "under ", "reserved", "domain ", "cc", "creative commons", "confidential", "permission ", "redistribution ", "warranty ", "commercial ", "secret", "provided ", "reproduced ", "copyright ", "subject to ")
@@ -86,7 +86,7 @@ CONFIDENCE = (1.0, 0.9, 0.75, 0.6, 0.3)
 
 
 def rules() -> list[tuple[str, str, int, str]]:
-    """All rules as (keyword, expression, priority, label), ordered: named versions before bare names."""
+    """All rules as (keywords, expression, priority, label), ordered: named versions before bare names."""
     out = [("spdx", rf"spdx licen[sc]e identifier {k}(?: only| or later)?", 0, v) for k, v in SPDX.items()]
     for before, after, priority in GRANTS:
         for keyword, name, versions, label in FAMILIES:
@@ -139,7 +139,7 @@ def _detections(norm: Column, rule: Column) -> Column:
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, detections and score to each row."""
     table = rules()
-    literal = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(v).alias("label")) for k, p, n, v in table])
+    literal = F.array(*[F.struct(F.array(*[F.lit(f" {x} ") for x in k.split("|")]).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(v).alias("label")) for k, p, n, v in table])
     out = documents.withColumn("_norm", normalised(F.col(text)))
     norm = F.col("_norm")
     places, firsts, lasts, marks = [], [], [], []
@@ -153,7 +153,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
         marks.append(F.when(there, F.lit(label)))
     some = F.array_compact(F.array(*marks))
     gate = reduce(lambda a, b: a | b, [norm.contains(f" {g}") for g in GATES])
-    kept = F.flatten(F.array_compact(F.transform(F.filter(literal, lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"], F.lit(" ")))), lambda r: _detections(norm, r))))
+    kept = F.flatten(F.array_compact(F.transform(F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k))), lambda r: _detections(norm, r))))
     # outer intervals first, stronger rules first among equal intervals
     ordered = F.transform(
         F.array_sort(F.transform(kept, lambda d: F.struct(d["start"].alias("a"), (-d["last"]).alias("b"), d["priority"].alias("p"), d["label"].alias("l")))),
