@@ -9,7 +9,7 @@ and last key (two rows for each partition), and a second pass streams the rows w
 is gathered in one place.
 
 The hash of a key has 128 bits. Null and empty texts have one empty line, which stays. Rows that repeat a
-doc_id count as one document. Null doc_ids: such rows keep all their lines and count for nothing. Extra
+doc_id count as one document, and each loses lines of its own text. Null doc_ids: such rows keep all their lines and count for nothing. Extra
 columns pass through ``apply_bitmaps``.
 """
 
@@ -32,7 +32,7 @@ ROW = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("doc", "<i8")])
 
 
 def line_hashes(documents: DataFrame, text: str = "text", doc: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hi, lo, doc_id, row, position) of every line that is long enough; row: a hash of the whole text."""
+    """(hi, lo, doc_id, row, position) of every line that is long enough; row: Spark's xxhash64 of the whole text."""
     kept = documents.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter("_doc IS NOT NULL AND length(_text) > 0")
 
     def run(batches):
@@ -45,7 +45,8 @@ def line_hashes(documents: DataFrame, text: str = "text", doc: str = "doc_id", m
                     key = line.strip(BLANK)
                     if len(key) >= min_chars:
                         if row is None:
-                            row = xxhash.xxh64_intdigest(t.encode()) - (1 << 63)
+                            row = xxhash.xxh64_intdigest(t.encode(), 42)
+                            row -= (row >> 63) << 64
                         h = xxhash.xxh3_128_intdigest(key.translate(ASCII_LOWER).encode())
                         hi.append((h >> 64) - (1 << 63))
                         lo.append((h & (1 << 64) - 1) - (1 << 63))
@@ -172,9 +173,10 @@ def kept_lines(text: str, bitmap: bytes | None) -> tuple[list[str], int]:
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text", doc: str = "doc_id", digest: bool = False) -> DataFrame:
     """Documents with the text that is left; with digest, doc_id, n_lines, n_dropped and kept_sha256 instead."""
     names = [c for c in documents.columns if c != text]
-    keyed = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"), (F.col(f"`{doc}`")).alias("_doc"))
+    keyed = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"), F.col(f"`{doc}`").alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_row"))
     small = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("keep").alias("_bitmap"))
-    joined = keyed.join(small, "_doc", "left")
+    # a doc_id may stand with several texts: each row meets its own text's bitmap, once at most
+    joined = keyed.join(small, ["_doc", "_row"], "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in names]
     order = documents.columns if not digest else [*names, "n_lines", "n_dropped", "kept_sha256"]
     schema = ", ".join([*fields, "n_lines long", "n_dropped long", "kept_sha256 string"] if digest else [*fields, f"`{text}` string"])
@@ -182,11 +184,8 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text",
     def run(batches):
         for batch in batches:
             texts, totals, lost, hashes = [], [], [], []
-            for t, row, keep in zip(batch.column("_text"), batch.column("_row").to_pylist(), batch.column("_bitmap").to_pylist(), strict=True):
+            for t, keep in zip(batch.column("_text"), batch.column("_bitmap").to_pylist(), strict=True):
                 t = t.as_py()
-                if keep is not None and xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) != row:
-                    # a bitmap of another text under the same doc_id; the row stands once for each, so only its own counts
-                    keep = None
                 lines, n = kept_lines(t or "", keep)
                 out = "\n".join(lines)
                 texts.append(None if t is None else out)
