@@ -1,4 +1,4 @@
-"""Events of all detectors as one relation: evidence groups, clusters of repeated rejections, scores.
+"""Events of the candle, rejection and break detectors (not of doubles) as one relation: evidence groups, clusters of repeated rejections, scores.
 
 States that later bars give an event are in lifecycle.py. The linking of doubles to breaks, and the quality of a
 context as a rank key, are not part of this relation yet.

@@ -1,4 +1,4 @@
-"""Queries over the events of all detectors."""
+"""Queries over the events of the candle, rejection and break detectors; doubles are not among them."""
 
 from __future__ import annotations
 
