@@ -8,14 +8,17 @@ import tempfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: A word: digits, a-z (after lower-casing A-Z) and everything that is not ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Masters whose executors share the driver's folders.
+LOCAL = re.compile(r"local(\[.*\])?")
 #: Rows that one Arrow batch carries at most; whole texts can be long.
 BATCH_ROWS = 500
 
@@ -26,19 +29,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the checkpoint folder only where the session names none, and keeps Arrow batches small."""
+    """Sets a checkpoint folder in local mode where the session names none (elsewhere that is an error), and keeps Arrow batches small."""
     sc = spark.sparkContext
     # Python workers find this package where the driver found it, if their own path lacks it
     root = str(Path(__file__).resolve().parents[2])
     if root not in sc.environment.get("PYTHONPATH", "").split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, sc.environment.get("PYTHONPATH", "")]))
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not LOCAL.fullmatch(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="candlemill-"))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def picked(df: DataFrame, **wanted: str) -> DataFrame:
+    """Some columns under names of the operator's own. Columns are found by place, so names with dots, and names that
+    differ from others in letter case alone, are no trouble."""
+    names = df.columns
+    flat = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return flat.select(*[F.col(f"_{names.index(name)}").alias(own) for own, name in wanted.items()])
+
+
+def aside(df: DataFrame, text: str, results: tuple[str, ...] = (), keep_text: bool = False, **wanted: str) -> tuple[DataFrame, list[Column]]:
+    """The table with numbered names and its text as ``_text``, and the columns that give the other names back.
+
+    ``wanted`` columns are also there under names of the operator's own. Columns that have the name of a result,
+    letter case aside, are left out: the result replaces them.
+    """
+    names = df.columns
+    gone = {x.lower() for x in results}
+    kept = [i for i, n in enumerate(names) if n.lower() not in gone and (keep_text or n != text)]
+    flat = df.toDF(*[f"_aside_{i}" for i in range(len(names))])
+    own = {"_text": text, **wanted}
+    inner = flat.select(*[f"_aside_{i}" for i in kept], *[F.col(f"_aside_{names.index(n)}").alias(c) for c, n in own.items()])
+    return inner, [F.col(f"_aside_{i}").alias(names[i]) for i in kept]
+
+
+def carried(inner: DataFrame, *without: str) -> list[str]:
+    """Names of the columns that a Python stage passes on as they are."""
+    return [c for c in inner.columns if c not in without]
+
+
+def schema_with(inner: DataFrame, names: list[str], more: str) -> StructType:
+    """Schema of some columns as they are, and of new ones."""
+    return StructType([inner.schema[c] for c in names] + StructType.fromDDL(more).fields)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions for a shuffle that an operator sizes itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -9,8 +9,9 @@ and last key (two rows for each partition), and a second pass streams the rows w
 is gathered in one place.
 
 The hash of a key has 128 bits. Null and empty texts have one empty line, which stays. Rows that repeat a
-doc_id count as one document, and each loses lines of its own text. Null doc_ids: such rows keep all their lines and count for nothing. Extra
-columns pass through ``apply_bitmaps``.
+doc_id count as one document, and each loses lines of its own text. Null doc_ids: such rows keep all their
+lines and count for nothing. Long texts are split whole. Extra columns pass through ``apply_bitmaps``; those with
+the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, parallelism, prepare
+from .common import ASCII_LOWER, aside, carried, parallelism, picked, prepare, schema_with
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -33,7 +34,7 @@ ROW = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("doc", "<i8")])
 
 def line_hashes(documents: DataFrame, text: str = "text", doc: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """(hi, lo, doc_id, row, position) of every line that is long enough; row: Spark's xxhash64 of the whole text."""
-    kept = documents.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter("_doc IS NOT NULL AND length(_text) > 0")
+    kept = picked(documents, _doc=doc, _text=text).filter("_doc IS NOT NULL AND length(_text) > 0")
 
     def run(batches):
         for batch in batches:
@@ -170,16 +171,19 @@ def kept_lines(text: str, bitmap: bytes | None) -> tuple[list[str], int]:
     return [x for i, x in enumerate(lines) if i >= len(bits) or bits[i]], len(lines)
 
 
+RESULTS = ("n_lines", "n_dropped", "kept_sha256")
+
+
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text", doc: str = "doc_id", digest: bool = False) -> DataFrame:
-    """Documents with the text that is left; with digest, doc_id, n_lines, n_dropped and kept_sha256 instead."""
-    names = [c for c in documents.columns if c != text]
-    keyed = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"), F.col(f"`{doc}`").alias("_doc"), F.xxhash64(F.col(f"`{text}`")).alias("_row"))
+    """Documents with the text that is left; with digest n_lines, n_dropped and kept_sha256 instead, which replace
+    columns of these names."""
+    rows, columns = aside(documents, text, RESULTS if digest else (), _doc=doc)
+    rows = rows.withColumn("_row", F.xxhash64("_text"))
     small = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("keep").alias("_bitmap"))
     # a doc_id may stand with several texts: each row meets its own text's bitmap, once at most
-    joined = keyed.join(small, ["_doc", "_row"], "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in names]
-    order = documents.columns if not digest else [*names, "n_lines", "n_dropped", "kept_sha256"]
-    schema = ", ".join([*fields, "n_lines long", "n_dropped long", "kept_sha256 string"] if digest else [*fields, f"`{text}` string"])
+    joined = rows.join(small, ["_doc", "_row"], "left")
+    names = carried(joined, "_text", "_doc", "_row", "_bitmap")
+    schema = schema_with(joined, names, "n_lines long, n_dropped long, kept_sha256 string" if digest else "_left string")
 
     def run(batches):
         for batch in batches:
@@ -188,19 +192,24 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text",
                 t = t.as_py()
                 lines, n = kept_lines(t or "", keep)
                 out = "\n".join(lines)
-                texts.append(None if t is None else out)
-                totals.append(n)
-                lost.append(n - len(lines))
                 if digest:
+                    totals.append(n)
+                    lost.append(n - len(lines))
                     hashes.append(hashlib.sha256(out.encode()).hexdigest())
-            columns = [batch.column(c) for c in names]
+                else:
+                    texts.append(None if t is None else out)
+            own = [batch.column(c) for c in names]
             if digest:
-                columns += [pa.array(totals, pa.int64()), pa.array(lost, pa.int64()), pa.array(hashes, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped", "kept_sha256"])
+                own += [pa.array(totals, pa.int64()), pa.array(lost, pa.int64()), pa.array(hashes, pa.string())]
             else:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*names, text])
-
-    return joined.mapInArrow(run, schema).select(*[f"`{c}`" for c in order])
+                own.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(own, names=schema.names)
+
+    out = joined.mapInArrow(run, schema)
+    if digest:
+        return out.select(*columns, *RESULTS)
+    place = documents.columns.index(text)
+    return out.select(*columns[:place], F.col("_left").alias(text), *columns[place:])
 
 
 def dedup(documents: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
