@@ -6,11 +6,14 @@ classes; a linear hinge-loss model is fitted to the scaled indicators by dual co
 weights are drawn towards their mean size. A logistic curve fitted to the training margins gives scores.
 
 Training takes at most MAX_TRAIN labelled rows (the bound of what the driver holds, as n-gram numbers, no
-texts), those with the smallest hash of their id; every text is then scored whole, without any shuffle.
+texts): those with the smallest hash of id, label and text, however often an id repeats among the labels or
+the documents. Every text is then scored whole, without any shuffle.
 
 Null text: as empty. Empty texts get the score of the bias alone. Without rows of both classes the score
 is the smoothed share of label 1 (a half if there are no labels). Labels other than 0 and 1 and null
-labels are not used. Extra columns stay. Rows with several labels count once for each.
+labels are not used. Rows with several labels, and ids with several texts, count once for each; equal ones
+once. Texts may be of any length. Extra columns stay; those named score or predicted are replaced. Empty
+tables: no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside, carried, picked, schema_with
+
 N, BITS, SHAPE_N = 3, 16, 4
 SIZE = (1 << BITS) + 8**SHAPE_N
 MAX_TRAIN = 6000
@@ -138,36 +143,44 @@ def calibrated(model: Model, rows: list, y: np.ndarray) -> Model:
 
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "quality", held_out_mod: int | None = 3) -> Model:
     """Fits on labelled rows, without those whose crc32(id) mod 3 is 1."""
-    known = labels.select(F.col(f"`{doc}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
+    known = picked(labels, _id=doc, _y=label).withColumn("_y", F.col("_y").cast("int")).filter("_id IS NOT NULL AND _y IN (0, 1)")
     if held_out_mod:
         known = known.filter(F.crc32(F.col("_id").cast("string")) % held_out_mod != 1)
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(MAX_TRAIN)
-    texts = documents.select(F.col(f"`{doc}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id")
+    # a bounded choice of ids first, then of the rows that have them: both are cut before anything is collected
+    chosen = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(MAX_TRAIN)
+    texts = picked(documents, _id=doc, _text=text).join(F.broadcast(chosen), "_id")
+    texts = texts.withColumn("_h", F.xxhash64("_id", "_y", "_text"))
+    # the largest of the smallest MAX_TRAIN hashes; texts are left where they are
+    top = texts.select("_h").distinct().orderBy("_h").limit(MAX_TRAIN).agg(F.max("_h")).first()[0]
+    bounded = texts.filter(F.col("_h") <= F.lit(top).cast("long"))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array([features(t.as_py()).tobytes() for t in batch.column("_text")], pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_id").cast(pa.string()), batch.column("_y"), pa.array([features(t.as_py()).tobytes() for t in batch.column("_text")], pa.binary())], names=["h", "id", "y", "x"])
 
-    rows = texts.mapInArrow(run, "id string, y int, x binary").collect()
+    # rows that repeat have one hash and meet before they are collected
+    rows = bounded.mapInArrow(run, "h long, id string, y int, x binary").dropDuplicates(["h"]).collect()
     rows.sort(key=lambda r: (len(r.id), r.id, r.y, bytes(r.x)))
-    return fit([(np.frombuffer(r.x, np.int32), r.y) for r in rows[: 2 * MAX_TRAIN]])
+    return fit([(np.frombuffer(r.x, np.int32), r.y) for r in rows])
+
+
+RESULTS = ("score", "predicted")
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Adds score and predicted to each row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in documents.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    # the text travels under another name, and once more as itself if it is kept
-    kept = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + ["score double", "predicted int"])
+    rows, columns = aside(documents, text, RESULTS, keep_text)
+    names = carried(rows, "_text")
+    schema = schema_with(rows, names, "score double, predicted int")
 
     def run(batches):
         own = shared.value
         for batch in batches:
             values = [own.score(t.as_py()) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*columns, *RESULTS)
 
 
 def op9_quality_nbsvm(spark, sf_dir: str) -> DataFrame:
