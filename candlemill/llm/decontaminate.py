@@ -11,7 +11,8 @@ The test set is taken in blocks of at most BLOCK_WORDS words (a proven bound for
 block passes over all documents, and the results of the blocks are merged by document.
 
 Null or empty text: no words, not contaminated. Items without words match nothing. Rows that repeat a
-doc_id are judged each for itself. Extra columns of documents are kept by ``flag``.
+doc_id are judged each for itself, items that repeat count once. Long texts are taken whole. Empty tables: no
+rows, or no hits. Extra columns of documents are kept by ``flag``; those with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, gram_hashes, window_min_positions
+from .common import ASCII_LOWER, WORD, aside, carried, gram_hashes, picked, prepare, schema_with, window_min_positions
 
 WINDOW, K = 13, 7
 W = WINDOW - K + 1
@@ -115,7 +116,7 @@ def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _blocks(benchmark: DataFrame, item: str, text: str):
     """Test items in blocks of bounded size, streamed to the driver one partition at a time."""
     block, size = [], 0
-    for row in benchmark.select(item, text).toLocalIterator():
+    for row in picked(benchmark, item=item, text=text).toLocalIterator():
         words = words_of(row[1])
         if block and size + len(words) > BLOCK_WORDS:
             yield block
@@ -125,13 +126,12 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
     yield block
 
 
-def hits(documents: DataFrame, block: list, text: str = "text", final: bool = False) -> DataFrame:
-    """The columns but the text's, with _n_words, _spans (maximal hit runs [start, end), flat) and _items of one
-    block of test items; with final, what ``flag`` returns instead."""
-    shared = documents.sparkSession.sparkContext.broadcast(Block(block))
-    names = [c for c in documents.columns if c != text]
-    kept = documents.select(*[f"`{c}`" for c in names], F.col(f"`{text}`").alias("_text"))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"]
+def hits(rows: DataFrame, block: list, final: bool = False, keep_text: bool = False) -> DataFrame:
+    """The columns but _text, with _n_words, _spans (maximal hit runs [start, end), flat) and _items of one
+    block of test items; with final, what ``judged`` makes of them instead."""
+    shared = rows.sparkSession.sparkContext.broadcast(Block(block))
+    names = carried(rows, "_text")
+    schema = schema_with(rows, names, ", ".join(f"{k} {v}" for k, v in VERDICT.items()) if final else "_n_words bigint, _spans array<int>, _items array<string>")
 
     def run(batches):
         test = shared.value
@@ -140,11 +140,12 @@ def hits(documents: DataFrame, block: list, text: str = "text", final: bool = Fa
             spans, items = scan_batch(test, lists)
             columns, sizes = [batch.column(c) for c in names], [len(x) for x in lists]
             if final:
-                yield pa.RecordBatch.from_arrays(columns + judged(sizes, spans, items), names=[*names, *VERDICT])
+                columns += judged(sizes, spans, items)
             else:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "_n_words", "_spans", "_items"])
+                columns += [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, ", ".join(own + ([f"{k} {v}" for k, v in VERDICT.items()] if final else ["_n_words bigint", "_spans array<int>", "_items array<string>"])))
+    return rows.mapInArrow(run, schema)
 
 
 VERDICT = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items": "array<string>", "items_sha256": "string", "contaminated": "boolean"}
@@ -198,34 +199,35 @@ def scan_batch(block: Block, lists: list[list[str]]) -> tuple[list[list[int]], l
     return spans, items
 
 
-def flag(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document: its other columns, n_words, n_hit, n_items, items, items_sha256, contaminated.
-    Columns of documents that have one of these names are replaced."""
-    documents = documents.drop(*[c for c in VERDICT if c != text])
+def flag(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row for each document: its other columns (with keep_text the text too), n_words, n_hit, n_items, items,
+    items_sha256, contaminated."""
+    prepare(documents.sparkSession)
+    rows, columns = aside(documents, text, tuple(VERDICT), keep_text)
     blocks = _blocks(benchmark, item, item_text)
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        return hits(documents, block, text, final=True)
-    # several blocks: rows get a number, by which their hits are merged; the rows of one document are as many as blocks
-    names = [c for c in documents.columns if c != text]
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    rows = hits(numbered, block, text)
+        return hits(rows, block, final=True).select(*columns, *VERDICT)
+    # several blocks: only a row's number and its few hits are merged; the other columns meet them once at the end
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    narrow = numbered.select("_row", "_text")
+    found = hits(narrow, block)
     while following is not None:
-        rows, following = rows.unionByName(hits(numbered, following, text)), next(blocks, None)
-    merged = rows.groupBy("_row").agg(
-        *[F.first(f"`{c}`").alias(c) for c in names],
+        # of the blocks after the first only documents with hits tell anything
+        found, following = found.unionByName(hits(narrow, following).filter("size(_spans) > 0")), next(blocks, None)
+    merged = found.groupBy("_row").agg(
         F.max("_n_words").alias("_n_words"),
         F.flatten(F.collect_list("_spans")).alias("_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
     )
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema if f.name in names]
+    schema = schema_with(merged, ["_row"], ", ".join(f"{k} {v}" for k, v in VERDICT.items()))
 
     def finish(batches):
         for batch in batches:
-            columns = judged(*(batch.column(c).to_pylist() for c in ("_n_words", "_spans", "_items")))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names=[*names, *VERDICT])
+            verdict = judged(*(batch.column(c).to_pylist() for c in ("_n_words", "_spans", "_items")))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *verdict], names=schema.names)
 
-    return merged.mapInArrow(finish, ", ".join(own + [f"{k} {v}" for k, v in VERDICT.items()]))
+    return numbered.drop("_text").join(merged.mapInArrow(finish, schema), "_row").select(*columns, *VERDICT)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
