@@ -9,17 +9,18 @@ certain and are emitted. States are numbered when first met and their transition
 are emptied when they grow too large.
 
 Two tokens may stand side by side only if merging their bytes gives just these two; that is derived from
-the parts that meet at their border while they are merged, once for a pair. Decoding is streamed: ids become bytes in small runs, and an incremental UTF-8 decoder
-keeps the bytes of an unfinished character between runs.
+the parts that meet at their border while they are merged, once for a pair. Decoding is streamed: ids become
+bytes in small runs, which pass through an incremental UTF-8 state machine that keeps the bytes of an unfinished
+character between runs.
 
 Null text: as empty text, no ids. Any bytes decode; malformed UTF-8 becomes U+FFFD in the decoded text
-(the decoded bytes stay as they are). Rows repeat and doc_id may be null; each row stands alone.
+(the decoded bytes stay as they are). Rows repeat and doc_id may be null; each row stands alone. Long texts are
+taken whole. Empty table: no rows. Extra columns stay; those with the name of a result are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
 import re
 from array import array
@@ -31,6 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import aside, carried, schema_with
+
 #: Largest number of transitions, states and remembered pieces in one Python worker.
 KEEP_TRANSITIONS, KEEP_PIECES = 400_000, 300_000
 #: Longest piece that is remembered.
@@ -243,8 +246,81 @@ class Codec:
             yield b"".join(map(word, run))
 
     def decode_text(self, ids: Iterable[int]) -> str:
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        return "".join([machine.decode(run) for run in self.decode_runs(ids)]) + machine.decode(b"", True)
+        machine = Utf8Machine()
+        return "".join([machine.feed(run)[0].decode() for run in self.decode_runs(ids)]) + machine.close()[0].decode()
+
+    def decoded_bytes(self, ids: Iterable[int]) -> Iterator[bytes]:
+        """The bytes that ids stand for, as whole characters; malformed bytes pass as they are."""
+        machine = Utf8Machine()
+        for run in self.decode_runs(ids):
+            yield machine.feed(run)[1]
+        yield machine.close()[1]
+
+
+class Utf8Machine:
+    """UTF-8 in runs of bytes: a state tells which bytes may follow, and only whole characters leave.
+
+    The states are those of the well-formed byte sequences: START, then one, two or three continuation bytes to come,
+    with narrower ranges after E0, ED, F0 and F4. ``feed`` gives the well-formed text, in which each maximal malformed
+    part is U+FFFD, and the bytes it took them from; the bytes of an unfinished character wait for the next run.
+    """
+
+    #: State: for each byte the next state, or None where it cannot follow.
+    START, ONE, TWO, THREE, AFTER_E0, AFTER_ED, AFTER_F0, AFTER_F4 = range(8)
+    MOVES: list[list[int | None]] = [[None] * 256 for _ in range(8)]
+    #: Valid text in one step: runs of ASCII and of whole characters, which the machine need not walk byte by byte.
+    WHOLE = re.compile(rb"(?:[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})*")
+    BAD = "\ufffd".encode()
+
+    def __init__(self):
+        self.state, self.held = self.START, b""
+
+    def feed(self, run: bytes) -> tuple[bytes, bytes]:
+        """(well-formed UTF-8, the bytes it stands for) of what is complete with this run."""
+        held = self.held
+        data, at, size = held + run, len(held), len(held) + len(run)
+        text, begin, last, state = [], 0, 0, self.state  # begin: of the character in hand; last: what text covers
+        while at < size:
+            if state == self.START:
+                at = begin = self.WHOLE.match(data, at).end()
+                if at == size:
+                    break
+            move = self.MOVES[state][data[at]]
+            if move is None:
+                # the bytes so far are one malformed part; the byte at hand begins anew, unless it was alone
+                text += [data[last:begin], self.BAD]
+                at += state == self.START
+                begin = last = at
+                state = self.START
+                continue
+            at += 1
+            state = move
+            if state == self.START:
+                begin = at
+        self.state, self.held = state, data[begin:]
+        text.append(data[last:begin])
+        return b"".join(text), data[:begin]
+
+    def close(self) -> tuple[bytes, bytes]:
+        """What an unfinished character leaves."""
+        held, self.state, self.held = self.held, self.START, b""
+        return (self.BAD if held else b""), held
+
+
+def _utf8_moves() -> None:
+    m, tail = Utf8Machine, range(0x80, 0xC0)
+    rules = (
+        (m.START, range(0x00, 0x80), m.START), (m.START, range(0xC2, 0xE0), m.ONE), (m.START, (0xE0,), m.AFTER_E0), (m.START, (*range(0xE1, 0xED), 0xEE, 0xEF), m.TWO),
+        (m.START, (0xED,), m.AFTER_ED), (m.START, (0xF0,), m.AFTER_F0), (m.START, range(0xF1, 0xF4), m.THREE), (m.START, (0xF4,), m.AFTER_F4),
+        (m.ONE, tail, m.START), (m.TWO, tail, m.ONE), (m.THREE, tail, m.TWO),
+        (m.AFTER_E0, range(0xA0, 0xC0), m.ONE), (m.AFTER_ED, range(0x80, 0xA0), m.ONE), (m.AFTER_F0, range(0x90, 0xC0), m.TWO), (m.AFTER_F4, range(0x80, 0x90), m.TWO),
+    )
+    for state, those, after in rules:
+        for b in those:
+            m.MOVES[state][b] = after
+
+
+_utf8_moves()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -263,10 +339,12 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", as
 
     path: vocabulary file of token ranks, found on every executor. round_trip also adds decoded text.
     """
-    names = [c for c in documents.columns if c != text and c not in ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")]
-    kept = documents.select(*[f"`{c}`" for c in names], text).withColumnRenamed(text, "_text")
-    extra = (["ids array<int>"] + ["decoded string"] * round_trip) if as_ids else ["ids_sha256 string", "decoded_sha256 string"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + ["n_tokens bigint", *extra])
+    made = ("n_tokens", "ids", "decoded") if as_ids else ("n_tokens", "ids_sha256", "decoded_sha256")
+    made = made if round_trip or not as_ids else made[:2]
+    rows, columns = aside(documents, text, made)
+    names = carried(rows, "_text")
+    kinds = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+    schema = schema_with(rows, names, ", ".join(f"{c} {kinds[c]}" for c in made))
 
     def run(batches):
         own = codec(path, pattern)
@@ -283,15 +361,15 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", as
                 else:
                     first.append(hashlib.sha256(ids).hexdigest())
                     digest = hashlib.sha256()
-                    for part in own.decode_runs(numbers.tolist()):
+                    for part in own.decoded_bytes(numbers.tolist()):
                         digest.update(part)
                     second.append(digest.hexdigest())
-            columns = [batch.column(c) for c in names] + [pa.array(n_tokens, pa.int64()), pa.array(first, pa.list_(pa.int32()) if as_ids else pa.string())]
-            if not as_ids or round_trip:
-                columns.append(pa.array(second, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", *(x.split()[0] for x in extra)])
+            out = [batch.column(c) for c in names] + [pa.array(n_tokens, pa.int64()), pa.array(first, pa.list_(pa.int32()) if as_ids else pa.string())]
+            if len(made) > 2:
+                out.append(pa.array(second, pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*columns, *made)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
