@@ -137,7 +137,7 @@ def test_suffix_dedup(docs, empty, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit", [24, 1])
 def test_simhash(spark, docs, empty, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "LIST_LIMIT", limit)
+    monkeypatch.setattr(simhash, "LIST_ROWS", limit)
     got = by_id(simhash.classes(docs))
     fps = {i: simhash.fingerprint(t) for i, t, _ in corpus()}
     low = {i: i for i in fps}
