@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -77,6 +78,31 @@ def schema_with(inner: DataFrame, names: list[str], more: str) -> StructType:
     return StructType([inner.schema[c] for c in names] + StructType.fromDDL(more).fields)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The same rows, written as a table beside the checkpoints and read from there.
+
+    Loops and branches start from such tables rather than from checkpoint(): a checkpointed plan keeps its estimated
+    size, which is the product of the sizes of what was joined, so over the rounds of a loop the number itself grows
+    until the optimiser does nothing but multiply. A table has its true size.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "table") if folder is None else f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions for a shuffle that an operator sizes itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -18,8 +18,9 @@ BLOCK_RUNS runs of a few hundred bytes. Neighbours that agree in all keys are eq
 Buckets with more than BUCKET_LIMIT distinct runs are not gathered: each of their positions becomes a row
 with a 128-bit hash of its string, counted where it is (the rest of such a bucket is exact up to hashes).
 
-Null and empty texts: nothing to remove. Rows are known by a hash of doc_id and text; rows that repeat are
-copies of each other. Extra columns are not returned.
+Null and empty texts: nothing to remove. Long texts are taken whole. Rows are known by a hash of doc_id and text;
+rows that repeat share it, so each loses what repeats within its own text or in other rows. Null doc_ids are like
+others. Empty table: no rows. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, parallelism
+from .common import gram_hashes, parallelism, picked, prepare
 
 DEPTH, K, PERIOD = 200, 64, 24
 BLOCK_RUNS, BUCKET_LIMIT = 2000, 4096
@@ -206,11 +207,12 @@ def repeated(keyed: DataFrame, depth: int = DEPTH, k: int = K) -> DataFrame:
 
 
 def keys(documents: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    return documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{doc}`"), F.col(f"`{text}`")).alias("_key"))
+    return picked(documents, doc_id=doc, _text=text).withColumn("_key", F.xxhash64("doc_id", "_text"))
 
 
 def removed(documents: DataFrame, text: str = "text", doc: str = "doc_id", depth: int = DEPTH, k: int = K, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (bytes) of each document."""
+    prepare(documents.sparkSession)
     keyed = keys(documents, text, doc)
     spans = repeated(keyed, depth, k).groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     joined = keyed.join(spans.withColumnRenamed("row", "_key"), "_key", "left")
