@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, aside, carried, mix64, parallelism, picked, prepare, schema_with
+from .common import ASCII_LOWER, aside, carried, mix64, parallelism, picked, prepare, remove, schema_with, scratch, settled
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, BUDGET, BITS = 3, 42, 2, 64
@@ -79,19 +79,12 @@ def wide(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def ring_filter(differ: np.ndarray, budget: int) -> np.ndarray:
-    """For rows of differing bits, one word a segment: whether some segment starts a chain that keeps the
-    proportional budgets all the way round."""
-    count = np.bitwise_count(differ).astype(np.int64)
-    m = count.shape[1]
-    over = np.concatenate([count, count], axis=1) * m - budget  # each segment against its share, in m-ths
-    sums = np.cumsum(over, axis=1)
-    before = np.concatenate([np.zeros((len(count), 1), np.int64), sums], axis=1)
-    # a chain from s keeps its budgets if no sum from s on exceeds the one before it
-    ok = np.zeros(len(count), bool)
-    for s in range(m):
-        ok |= sums[:, s : s + m].max(axis=1) <= before[:, s]
-    return ok
+def ring_filter(count: np.ndarray, budget: int) -> np.ndarray:
+    """For rows of differing bits by segment: whether some segment starts a chain that keeps the proportional
+    budgets all the way round. Only the chain that starts after the highest running excess can, and it does
+    exactly if the excess is gone after one round."""
+    excess = np.cumsum(count.astype(np.int64) * count.shape[1] - budget, axis=1)
+    return excess[:, -1] <= 0
 
 
 def fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -159,7 +152,7 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     listed = distinct.select("fp", F.explode(F.array(*[key(s) for s in range(SEGMENTS)])).alias("key"))
     sizes = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # fingerprints that share no list are done with here
-    shared = listed.join(sizes, "key").checkpoint()
+    shared = settled(listed.join(sizes, "key"))
     choices = SEGMENTS - 1 - equal  # which of the segments after the head may differ
 
     def grouped(keys, values):
@@ -206,29 +199,34 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return near.unionByName(apart).dropDuplicates()
 
 
-def components(edges: DataFrame, smallest: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node of its component.
 
     Each round every node hooks to its smallest neighbour; chains of hooks are halved until all point to
-    their root; edges are then drawn between roots. Rounds grow with the logarithm of the component size.
+    their root; edges are then drawn between roots. Rounds grow with the logarithm of the component size. The tables
+    of the rounds are deleted at the end.
     """
-    edges = edges.select("a", "b").checkpoint()
+    spark = edges.sparkSession
+    folder = scratch(spark, "components")
+    edges = settled(edges.select("a", "b"), folder)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     labels = nodes.withColumn("root", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")).checkpoint()
+        hooks = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")), folder)
         while True:
             upper = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = hooks.join(upper, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("top") != F.col("up")).alias("moved")).checkpoint()
+            jumped = settled(hooks.join(upper, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("top") != F.col("up")).alias("moved")), folder)
             hooks = jumped.select("node", "up")
             if jumped.filter("moved").isEmpty():
                 break
         to = hooks.select(F.col("node").alias("root"), F.col("up").alias("new_root"))
-        labels = labels.join(to, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")).checkpoint()
+        labels = settled(labels.join(to, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), folder)
         ends = edges.join(hooks.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(hooks.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
-        edges = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates().checkpoint()
-    return labels
+        edges = settled(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates(), folder)
+    out = settled(labels)
+    remove(spark, folder)
+    return out
 
 
 def row_marks(documents: DataFrame, text: str, doc: str) -> DataFrame:
@@ -240,9 +238,9 @@ def classes(documents: DataFrame, text: str = "text", doc: str = "doc_id", shing
     """(doc_id, mark, fp, component_id, keeper) for each row: component_id is the smallest doc_id of all linked rows,
     keeper the mark of the row that ``dedup`` keeps if this row's doc_id is component_id."""
     prepare(documents.sparkSession)
-    marked = fingerprints(row_marks(documents, text, doc), "_text", shingle).checkpoint()
+    marked = settled(fingerprints(row_marks(documents, text, doc), "_text", shingle))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    known = marked.groupBy("fp").agg(F.min(first).alias("first")).checkpoint()
+    known = settled(marked.groupBy("fp").agg(F.min(first).alias("first")))
     rooted = components(links(known.select("fp"), budget))
     return _named(marked, known, rooted)
 
