@@ -43,8 +43,8 @@ def edited(rng, words, share):
 @pytest.mark.parametrize("long_lists", [False, True])
 def test_pairs_beyond_two_bits(spark, long_lists, monkeypatch):
     if long_lists:  # lists this small take the way of long lists, in several blocks
-        monkeypatch.setattr(near_copies, "LIST_LIMIT", 3)
         monkeypatch.setattr(near_copies, "BLOCK", 4)
+        monkeypatch.setattr(near_copies, "PART", 3)
     rng = random.Random(5)
     texts = {}
     for n in (3, 7, 30, 120, 600):
