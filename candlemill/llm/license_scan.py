@@ -83,7 +83,7 @@ SHORT_NAMES = (
     ("lgpl", r"(?:licen[sc]ed|released|distributed|available) under (?:the )?lgpl", "lgpl"), ("lgpl", r"(?:gnu lgpl|lgpl licen[sc]e)", "lgpl"), ("agpl", r"(?:licen[sc]ed|released|distributed|available) under (?:the )?agpl", "agpl"), ("agpl", r"(?:gnu agpl|agpl licen[sc]e)", "agpl"),
     ("mpl", r"mpl (?:1 1|2 0) licen[sc]e", "mpl"), ("mpl", r"(?:licen[sc]ed|released) under (?:the )?mpl", "mpl"), ("epl", r"(?:licen[sc]ed|released) under (?:the )?epl", "epl"), ("cddl", r"(?:licen[sc]ed|released) under (?:the )?cddl", "cddl"),
     ("x11", r"x11 licen[sc]e", "x11"), ("ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", "ncsa"), ("postgresql", r"postgresql licen[sc]e", "postgresql"), ("openssl", r"openssl licen[sc]e", "openssl"), ("php", r"php licen[sc]e(?: version 3 0?1)?", "php"),
-    ("ruby", r"ruby licen[sc]e", "ruby"), ("perl", r"same terms as perl itself", "perl"), ("beerware", r"beerware licen[sc]e", "beerware"), ("beer", r"buy me a beer in return", "beerware"), ("good not evil", r"the software shall be used for good not evil", "json"), ("vim", r"vim licen[sc]e", "vim"), ("curl", r"curl licen[sc]e", "curl"),
+    ("ruby", r"ruby licen[sc]e", "ruby"), ("perl", r"same terms as perl itself", "perl"), ("beerware", r"beerware licen[sc]e", "beerware"), ("in return", r"buy me a beer in return", "beerware"), ("good not evil", r"the software shall be used for good not evil", "json"), ("vim", r"vim licen[sc]e", "vim"), ("curl", r"curl licen[sc]e", "curl"),
     ("wtfpl", r"(?:licen[sc]ed|released) under (?:the )?wtfpl", "wtfpl"), ("fuck", r"do what the fuck you want to public licen[sc]e", "wtfpl"), ("unlicense", r"unlicense org", "unlicense"),
     ("common development", r"common development and distribution licen[sc]e(?: cddl)?(?: version)?(?: 1 [01])?", "cddl"), ("common public", r"common public licen[sc]e(?: version)?(?: 1 0)?", "cpl"), ("universal permissive", r"universal permissive licen[sc]e(?: v ?1 0)?", "upl"), ("open software", r"open software licen[sc]e(?: version)?(?: [123] 0)?", "osl"),
     ("mulan", r"mulan (?:permissive|public) (?:software )?licen[sc]e(?: v ?[12])?", "mulan"), ("elastic", r"elastic licen[sc]e(?: 2 0)?", "elastic"), ("server side", r"server side public licen[sc]e(?: v ?1)?", "sspl"), ("business source", r"business source licen[sc]e(?: 1 [01])?", "busl"), ("polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter) licen[sc]e(?: 1 0 0)?", "polyform"),
@@ -110,7 +110,7 @@ SENTENCES = (
     ("cc0|creative commons zero", r"(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", 1, "cc0"),
     ("apache", r"licen[sc]ed under the apache licen[sc]e version 2 0 the license you may not use this file except in compliance with the license", 0, "apache-2.0"),
     ("you may obtain a copy", r"you may obtain a copy of the license at", 2, "license-notice"),
-    ("you may not use this", r"you may not use this (?:file|work|software) except in compliance with the licen[sc]e", 2, "license-notice"),
+    ("compliance with the", r"you may not use this (?:file|work|software) except in compliance with the licen[sc]e", 2, "license-notice"),
     ("redistribute it", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation(?: either)? version 2(?: of the license)?(?: or at your option any later version)?", 0, "gpl-2"),
     ("redistribute it", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation(?: either)? version 3(?: of the license)?(?: or at your option any later version)?", 0, "gpl-3"),
     ("redistribute it", r"you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e", 0, "lgpl"),
@@ -136,7 +136,7 @@ SENTENCES = (
     ("no rights reserved", r"no rights reserved", 2, "cc0"),
     ("some restrictions", r"some restrictions apply", 4, "restricted"),
     ("personal use only", r"(?:for )?personal use only", 3, "non-commercial"),
-    ("use only|purposes only", r"for (?:research|educational)(?: (?:and|or) (?:research|educational))? (?:use|purposes) only", 3, "research-only"),
+    ("for research|for educational", r"for (?:research|educational)(?: (?:and|or) (?:research|educational))? (?:use|purposes) only", 3, "research-only"),
     ("evaluation", r"for evaluation purposes only", 3, "evaluation"),
     ("internal use only", r"for internal use only", 2, "proprietary"),
     ("strictly prohibited", r"unauthori[sz]ed (?:copying|reproduction|distribution|use)(?: of this (?:file|work|software|material))?(?: via any medium)? is strictly prohibited", 1, "proprietary"),
@@ -177,9 +177,14 @@ def rules() -> list[tuple[str, str, int, str]]:
     return out + list(SENTENCES)
 
 
+def gate_word(keyword: str) -> str:
+    """The longest word of a keyword: a text without it has no match of the keyword's rules."""
+    return max(keyword.split(), key=len)
+
+
 def gate_words() -> list[str]:
-    """Words of which every match of any rule contains one: the longest word of each keyword."""
-    return sorted({max(k.split(), key=len) for keywords, *_ in rules() for k in keywords.split("|")})
+    """Words of which every match of any rule contains one."""
+    return sorted({gate_word(k) for keywords, *_ in rules() for k in keywords.split("|")})
 
 
 def normalised(text: Column) -> Column:
@@ -226,9 +231,9 @@ RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "label
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds RESULTS to each row."""
     table = rules()
-    literal = F.array(*[F.struct(F.array(*[F.lit(f" {x} ") for x in k.split("|")]).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(v).alias("label")) for k, p, n, v in table])
+    literal = F.array(*[F.struct(F.array(*[F.lit(gate_word(x)) for x in k.split("|")]).alias("gates"), F.array(*[F.lit(f" {x} ") for x in k.split("|")]).alias("keywords"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(v).alias("label")) for k, p, n, v in table])
     rows, columns = aside(documents, text, RESULTS, keep_text=True)
-    out = rows.withColumn("_norm", normalised(F.col("_text")))
+    out = rows.withColumn("_norm", normalised(F.col("_text"))).withColumn("_there", F.array_intersect(F.array(*[F.lit(g) for g in gate_words()]), F.split("_norm", " ")))
     norm = F.col("_norm")
     places, firsts, lasts, marks = [], [], [], []
     for phrase, label in BASE_PHRASES:
@@ -240,8 +245,10 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
         lasts.append(F.when(there, _blanks(F.substring(norm, F.lit(1), F.length(norm) - tail - 1))))
         marks.append(F.when(there, F.lit(label)))
     some = F.array_compact(F.array(*marks))
-    gate = F.arrays_overlap(F.split(norm, " "), F.array(*[F.lit(g) for g in gate_words()]))
-    kept = F.flatten(F.array_compact(F.transform(F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k))), lambda r: _detections(norm, r))))
+    # few words of a text are gates; only rules of those are asked for their keywords
+    there = F.col("_there")
+    gate = F.size(there) > 0
+    kept = F.flatten(F.array_compact(F.transform(F.filter(literal, lambda r: F.when(F.exists(r["gates"], lambda g: F.array_contains(there, g)), F.exists(r["keywords"], lambda k: F.contains(norm, k))).otherwise(False)), lambda r: _detections(norm, r))))
     # outer intervals first, stronger rules first among equal intervals
     ordered = F.transform(
         F.array_sort(F.transform(kept, lambda d: F.struct(d["start"].alias("a"), (-d["last"]).alias("b"), d["priority"].alias("p"), d["label"].alias("l")))),
