@@ -53,6 +53,7 @@ def summaries(results: DataFrame, by: str | None = None) -> DataFrame:
             F.count(F.lit(1)).alias("signals"),
             F.sum((r > 0).cast("int")).alias("wins"),
             F.sum((r < 0).cast("int")).alias("losses"),
+            F.sum((r == 0).cast("int")).alias("flat"),
             F.avg((r > 0).cast("int")).alias("precision"),
             F.avg(r).alias("mean_return"),
             F.median(r).alias("median_return"),

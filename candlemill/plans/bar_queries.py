@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detectors, evaluate, features, validate
+from ..operators import detectors, evaluate, features, signals, trend, validate
 from ..sources.bars import bars_from_events, events
 
 AS_OF = "2024-01-20 12:30:00"
@@ -113,8 +113,9 @@ def double_bottom_setups(spark, sf):
 
 
 def _outcomes(spark, sf):
+    """Outcomes of the confirmed events of all detectors that have a direction."""
     f = feats(spark, sf)
-    return evaluate.outcomes(f, detectors.bar_patterns(f).filter("pattern_id LIKE '%engulfing'"))
+    return evaluate.outcomes(f, signals.all_events(f).filter("status = 'confirmed'"))
 
 
 def forward_outcomes(spark, sf):
@@ -141,6 +142,12 @@ def backtest_summary_by_session(spark, sf):
     return rounded(evaluate.summaries(r, "session_segment"), *MEANS)
 
 
+def backtest_summary_by_context(spark, sf):
+    """By the broad trend at the signal's bar."""
+    contexts = trend.broad(feats(spark, sf)).select("symbol", "bar_start", F.col("trend").alias("market_context"))
+    return rounded(evaluate.summaries(_outcomes(spark, sf).join(contexts, ["symbol", "bar_start"]), "market_context"), *MEANS)
+
+
 def confidence_bucket(spark, sf):
     e = events(spark, sf).select((F.col("event_id") % 101).alias("confidence"))
     return e.groupBy(evaluate.confidence_bucket(F.col("confidence")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +155,7 @@ def confidence_bucket(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (bars_hourly, completed_bars_asof, validation_counters, dedup_keep_last, invalid_ohlc, irregular_gaps, session_filter, swing_points, pivots, regression_slope, break_structure_events, candle_direction, raw_breaks, pattern_counts, double_top_setups, double_bottom_setups, forward_outcomes, target_stop_first_touch, backtest_summary, backtest_summary_by_pattern, backtest_summary_by_session, confidence_bucket)
+    for f in (bars_hourly, completed_bars_asof, validation_counters, dedup_keep_last, invalid_ohlc, irregular_gaps, session_filter, swing_points, pivots, regression_slope, break_structure_events, candle_direction, raw_breaks, pattern_counts, double_top_setups, double_bottom_setups, forward_outcomes, target_stop_first_touch, backtest_summary, backtest_summary_by_pattern, backtest_summary_by_session, backtest_summary_by_context, confidence_bucket)
 }
 QUERIES |= {
     "session_segments": pick("session_date", "session_segment", "session_key"),

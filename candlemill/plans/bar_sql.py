@@ -87,6 +87,7 @@ def _touch(h: int) -> str:
     )
 
 
+#: Outcomes of the events in a relation ``signals``, which the user of this text puts before it.
 OUTCOMES = (
     FEATURES
     + ", ahead AS ("
@@ -98,9 +99,9 @@ results AS (SELECT symbol, bar_start, bar_index, pattern_id, bias, horizon,
     CASE WHEN exit IS NOT NULL THEN CASE WHEN bias = 'Bullish' THEN bottom / close - 1 ELSE 1 - top / close END END AS mae,
     CASE WHEN exit IS NULL THEN 'insufficient_future_bars' WHEN t IS NULL AND s IS NULL THEN 'neither_hit' WHEN t = s THEN 'both_same_bar' WHEN s IS NULL OR t < s THEN 'target_first' ELSE 'stop_first' END AS touch
   FROM (SELECT p.*, a.* EXCLUDE (symbol, bar_index), CASE WHEN bias = 'Bullish' THEN bull_t ELSE bear_t END AS t, CASE WHEN bias = 'Bullish' THEN bull_s ELSE bear_s END AS s
-        FROM patterns p JOIN ahead a USING (symbol, bar_index) WHERE pattern_id LIKE '%engulfing'))"""
+        FROM signals p JOIN ahead a USING (symbol, bar_index)))"""
 )
-SUMMARY = """count(*) AS signals, count(*) FILTER (WHERE directional_return > 0) AS wins, count(*) FILTER (WHERE directional_return < 0) AS losses,
+SUMMARY = """count(*) AS signals, count(*) FILTER (WHERE directional_return > 0) AS wins, count(*) FILTER (WHERE directional_return < 0) AS losses, count(*) FILTER (WHERE directional_return = 0) AS flat,
   round(avg((directional_return > 0)::INT), 9) AS precision, round(avg(directional_return), 9) AS mean_return, round(median(directional_return), 9) AS median_return,
   round(avg(mfe), 9) AS mean_mfe, round(avg(mae), 9) AS mean_mae, round(avg((touch = 'target_first')::INT), 9) AS target_first_rate, round(avg((touch = 'stop_first')::INT), 9) AS stop_first_rate"""
 
@@ -166,11 +167,6 @@ SQL = {
     "pattern_counts": f"WITH {FEATURES} SELECT symbol, pattern_id, bias, count(*) AS n FROM patterns GROUP BY ALL",
     "double_top_setups": doubles(True),
     "double_bottom_setups": doubles(False),
-    "forward_outcomes": f"WITH {OUTCOMES} SELECT symbol, bar_start, bar_index, pattern_id, bias, horizon, round(directional_return, 9) AS directional_return, round(mfe, 9) AS mfe, round(mae, 9) AS mae FROM results",
-    "target_stop_first_touch": f"WITH {OUTCOMES} SELECT symbol, bar_start, pattern_id, horizon, touch FROM results",
-    "backtest_summary": f"WITH {OUTCOMES} SELECT horizon, {SUMMARY} FROM results WHERE directional_return IS NOT NULL GROUP BY ALL",
-    "backtest_summary_by_pattern": f"WITH {OUTCOMES} SELECT pattern_id, horizon, {SUMMARY} FROM results WHERE directional_return IS NOT NULL GROUP BY ALL",
-    "backtest_summary_by_session": f"WITH {OUTCOMES} SELECT CASE WHEN strftime(bar_start, '%H:%M:%S') < '09:30:00' THEN 'premarket' WHEN strftime(bar_start, '%H:%M:%S') < '16:00:00' THEN 'regular' ELSE 'afterhours' END AS session_segment, horizon, {SUMMARY} FROM results WHERE directional_return IS NOT NULL GROUP BY ALL",
     "confidence_bucket": "SELECT CASE WHEN event_id % 101 < 25 THEN '0-24' WHEN event_id % 101 < 50 THEN '25-49' WHEN event_id % 101 < 75 THEN '50-74' ELSE '75-100' END AS bucket, count(*) AS n FROM events GROUP BY 1",
     "bullish_engulfing": patterns("bullish_engulfing"),
     "bearish_engulfing": patterns("bearish_engulfing"),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.bar_queries import QUERIES, feats
 from .plans.bar_sql import SQL
+from .plans.report_queries import QUERIES as REPORT_QUERIES
+from .plans.report_sql import SQL as REPORT_SQL
 from .plans.signal_queries import QUERIES as SIGNAL_QUERIES
 from .plans.signal_sql import SQL as SIGNAL_SQL
 from .plans.source_queries import QUERIES as SOURCE_QUERIES
@@ -22,8 +24,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | TREND_QUERIES | SIGNAL_QUERIES | SOURCE_QUERIES
+    return QUERIES | REPORT_QUERIES | TREND_QUERIES | SIGNAL_QUERIES | SOURCE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | TREND_SQL | SIGNAL_SQL | SOURCE_SQL
+    return SQL | REPORT_SQL | TREND_SQL | SIGNAL_SQL | SOURCE_SQL
