@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .config import INTERVAL_SECONDS, PatternConfig
 from .operators import detectors, features, lifecycle, ranking, score, signals, trend
+from .operators.reuse import settled
 from .sources.bars import read_bars
 
 #: Period and interval of each preset.
@@ -117,9 +118,9 @@ def analyse(bars: DataFrame, interval: str = "1h", top: int = ranking.TOP) -> tu
     """(assessment, top events) of every symbol at its last bar."""
     if interval not in INTERVAL_SECONDS:
         raise ValueError(f"unknown interval {interval}")
-    rows = features.add_features(bars)
-    first = signals.primaries(signals.all_events(rows))
-    judged = score.judged(rows, first, lifecycle.states(rows, first), interval)
+    rows = settled(features.add_features(bars))
+    first = settled(signals.primaries(signals.all_events(rows)))
+    judged = score.judged(rows, first, settled(lifecycle.states(rows, first)), interval)
     return score.assess(judged, trend.broad(rows)), ranking.top(judged, top)
 
 

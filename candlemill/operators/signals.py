@@ -56,6 +56,14 @@ def all_events(features: DataFrame) -> DataFrame:
     return rows.withColumns({**weights, "kind": kind}).join(at, ["symbol", "bar_index"]).withColumn("zone", zone).drop("high", "low")
 
 
+def distinct_events(events: DataFrame, *more: str) -> DataFrame:
+    """Events that agree in pattern, status, bar, bias and the columns named come once, with copies: how many there were."""
+    keys = ["symbol", "bar_index", "pattern_id", "status", "bias", *more]
+    rest = [c for c in events.columns if c not in keys]
+    one = F.min(F.struct(*rest)).alias("_one")
+    return events.groupBy(*keys).agg(one, F.count(F.lit(1)).alias("copies")).select(*keys, "_one.*", "copies")
+
+
 def primaries(events: DataFrame) -> DataFrame:
     """The first event of each evidence group (symbol, bar, kind)."""
     status = F.when(F.col("status") == "confirmed", 0).when(F.col("status") == "tentative", 1).otherwise(2)

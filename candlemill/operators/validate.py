@@ -66,6 +66,40 @@ def report(df: DataFrame, interval: str, as_of: str, order: str = "input_id") ->
     )
 
 
+#: The warnings of a validation, with the counter that each tells; all but the last are errors in strict mode.
+WARNINGS = (
+    ("unsorted", "Input timestamps were unsorted."),
+    ("duplicate_count", "Found %d duplicate timestamps."),
+    ("missing_value_count", "Found %d missing OHLCV values."),
+    ("invalid_ohlc_count", "Found %d rows with invalid OHLCV values."),
+    ("irregular_gap_count", "Detected %d irregular or mixed same-session interval(s) relative to interval %s."),
+)
+
+
+def unsorted(df: DataFrame, order: str = "input_id") -> DataFrame:
+    """(symbol, unsorted): the rows of each symbol that come before the one ahead of them in input order."""
+    earlier = F.lag("bar_start").over(Window.partitionBy("symbol").orderBy(order)) > F.col("bar_start")
+    return df.withColumn("_early", F.coalesce(earlier, F.lit(False))).groupBy("symbol").agg(F.sum(F.col("_early").cast("int")).alias("unsorted"))
+
+
+def warnings(df: DataFrame, interval: str, as_of: str, order: str = "input_id") -> DataFrame:
+    """(symbol, warnings, strict_error): texts in order, and the first of them that strict mode stops at."""
+    counts = report(df, interval, as_of, order).join(unsorted(df, order), "symbol")
+    texts = {}
+    for c, text in WARNINGS:
+        args = [F.col(c)] * text.count("%d") + [F.lit(interval)] * text.count("%s")
+        texts[c] = F.when(F.col(c) > 0, F.format_string(text, *args) if args else F.lit(text))
+    return counts.select("symbol", F.array_compact(F.array(*texts.values())).alias("warnings"), F.coalesce(*[texts[c] for c, _ in WARNINGS[:-1]]).alias("strict_error"))
+
+
+def strict(df: DataFrame, interval: str, as_of: str, order: str = "input_id") -> DataFrame:
+    """The same rows; the first symbol with an error in strict mode, by name, raises ValueError."""
+    bad = warnings(df, interval, as_of, order).filter("strict_error IS NOT NULL").orderBy("symbol").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].symbol}: {bad[0].strict_error}")
+    return df
+
+
 def latest_sessions(features: DataFrame, segments: tuple[str, ...] = SESSION_MODES["regular"]) -> DataFrame:
     """The last session date of each symbol with a bar in the segments, the one before, and its bars of all segments."""
     dates = features.filter(F.col("session_segment").isin(*segments)).groupBy("symbol", "session_date").agg(F.count(F.lit(1)).alias("_n"))

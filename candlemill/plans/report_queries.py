@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking, sessions, signals
-from .bar_queries import bars, feats
+from ..operators.reuse import settled
+from ..functions import zones
+from ..operators import validate
+from .bar_queries import AS_OF, bars, feats, quotes
 from .signal_queries import _judged
 
 ZONES = ("America/New_York", "Asia/Jerusalem")
 
 
 def top_patterns(spark, sf):
-    return ranking.top(_judged(feats(spark, sf))).select("symbol", "rank", "bar_start", "kind", "pattern_id", "name", "bias", "status", "state")
+    return ranking.top(_judged(settled(feats(spark, sf)))).select("symbol", "rank", "bar_start", "kind", "pattern_id", "name", "bias", "status", "state")
 
 
 def analytical_families(spark, sf):
@@ -25,7 +28,7 @@ def signal_strength(spark, sf):
 
 
 def evidence_categories(spark, sf):
-    return ranking.evidence(_judged(feats(spark, sf))).groupBy("symbol", "category", "state").agg(F.count(F.lit(1)).alias("n"))
+    return ranking.evidence(_judged(settled(feats(spark, sf)))).groupBy("symbol", "category", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def zoned_sessions(spark, sf):
@@ -33,4 +36,27 @@ def zoned_sessions(spark, sf):
     return sessions.in_zone(zoned, "zone").select("symbol", "bar_start", "zone", "local_start", "trading_date", "session_date", "session_segment")
 
 
-QUERIES = {f.__name__: f for f in (top_patterns, analytical_families, signal_strength, evidence_categories, zoned_sessions)}
+def validation_warnings(spark, sf):
+    out = validate.warnings(quotes(spark, sf), "15m", AS_OF)
+    return out.select("symbol", F.concat_ws(" ", "warnings").alias("warnings"), "strict_error")
+
+
+def exact_duplicates(spark, sf):
+    """Events of two overlapping runs: all bars, and those of the first half of January."""
+    events = signals.all_events(feats(spark, sf))
+    both = events.unionByName(events.filter("bar_start < TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
+    return signals.distinct_events(both, "bar_start").groupBy("symbol", "pattern_id", "copies").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_history(spark, sf):
+    rows = ranking.history(_judged(settled(feats(spark, sf))), 10)
+    return rows.select("symbol", "place", "bar_start", "kind", "pattern_id", "name", "state", "since")
+
+
+def bar_labels(spark, sf):
+    """Texts of bar times in a zone whose offset changes over the year."""
+    at, zone = F.col("bar_start"), F.lit(ZONES[0])
+    return bars(spark, sf).select("symbol", "bar_start", zones.iso_text(at, zone).alias("iso"), zones.display_text(at, zone).alias("display"), zones.compact_text(at, zone).alias("compact"))
+
+
+QUERIES = {f.__name__: f for f in (top_patterns, analytical_families, signal_strength, evidence_categories, zoned_sessions, validation_warnings, exact_duplicates, event_history, bar_labels)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.ranking import FAMILIES, PAST, RECENT, RECENT_BARS, STATE_RANK, STATUS_RANK, TOP
 from .bar_sql import BARS, FEATURES, OUTCOMES, SUMMARY
+from .bar_sql import SQL as BAR_SQL
 from .signal_sql import EVENTS, JUDGED
 from .trend_sql import BROAD
 
@@ -37,4 +38,17 @@ SQL = {
     "zoned_sessions": f"""WITH {BARS}, z AS (SELECT symbol, bar_start, zone, timezone(zone, timezone('UTC', bar_start)) AS local_start FROM bars, (VALUES ('America/New_York'), ('Asia/Jerusalem')) v(zone)),
       s AS (SELECT *, strftime(local_start, '%H:%M:%S') AS clock, strftime(local_start, '%Y-%m-%d') AS session_date FROM z)
       SELECT symbol, bar_start, zone, local_start, local_start::DATE AS trading_date, session_date, CASE WHEN clock < '09:30:00' THEN 'premarket' WHEN clock < '16:00:00' THEN 'regular' ELSE 'afterhours' END AS session_segment FROM s""",
+    "validation_warnings": f"""WITH c AS ({BAR_SQL["validation_counters"]}), q AS (SELECT event_type AS symbol, time_bucket(INTERVAL '15 minutes', ts) AS t, event_id FROM events),
+      u AS (SELECT symbol, count(*) FILTER (WHERE early) AS unsorted FROM (SELECT symbol, lag(t) OVER (PARTITION BY symbol ORDER BY event_id) > t AS early FROM q) GROUP BY 1),
+      x AS (SELECT symbol, CASE WHEN unsorted > 0 THEN 'Input timestamps were unsorted.' END AS a, CASE WHEN duplicate_count > 0 THEN format('Found {{}} duplicate timestamps.', duplicate_count) END AS b,
+        CASE WHEN missing_value_count > 0 THEN format('Found {{}} missing OHLCV values.', missing_value_count) END AS m, CASE WHEN invalid_ohlc_count > 0 THEN format('Found {{}} rows with invalid OHLCV values.', invalid_ohlc_count) END AS i,
+        CASE WHEN irregular_gap_count > 0 THEN format('Detected {{}} irregular or mixed same-session interval(s) relative to interval 15m.', irregular_gap_count) END AS g FROM c JOIN u USING (symbol))
+      SELECT symbol, concat_ws(' ', a, b, m, i, g) AS warnings, coalesce(a, b, m, i) AS strict_error FROM x""",
+    "exact_duplicates": f"""{EVENTS}, both_runs AS (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE bar_start < TIMESTAMP '2024-01-15 00:00:00')
+      SELECT symbol, pattern_id, copies, count(*) AS n FROM (SELECT symbol, bar_index, pattern_id, status, bias, bar_start, count(*) AS copies FROM both_runs GROUP BY ALL) GROUP BY ALL""",
+    "event_history": f"""{JUDGED}, placed AS (SELECT symbol, bar_start, kind, pattern_id, name, state, since, row_number() OVER (PARTITION BY symbol ORDER BY since DESC, name, bar_index, kind, bias) AS place
+        FROM judged JOIN (SELECT symbol, bar_start, kind, since FROM states) USING (symbol, bar_start, kind)) SELECT * FROM placed WHERE place <= 10""",
+    "bar_labels": f"""WITH {BARS}, z AS (SELECT symbol, bar_start, timezone('America/New_York', timezone('UTC', bar_start)) AS t FROM bars),
+      o AS (SELECT *, date_diff('minute', bar_start, t) AS m FROM z), p AS (SELECT *, CASE WHEN m < 0 THEN '-' ELSE '+' END || lpad((abs(m) // 60)::VARCHAR, 2, '0') AS h, lpad((abs(m) % 60)::VARCHAR, 2, '0') AS r FROM o)
+      SELECT symbol, bar_start, strftime(t, '%Y-%m-%dT%H:%M') || h || ':' || r AS iso, strftime(t, '%Y-%m-%d %H:%M:%S') || h || r || ' America/New_York' AS display, strftime(t, '%Y-%m-%d %H:%M') || ' America/New_York' AS compact FROM p""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle, score, signals, trend
+from ..operators.reuse import settled
 from .bar_queries import feats, rounded
 
 
@@ -30,8 +31,8 @@ def signal_scores(spark, sf):
 
 
 def lifecycle_states(spark, sf):
-    f = feats(spark, sf)
-    return lifecycle.states(f, signals.primaries(signals.all_events(f))).drop("max_age", "last")
+    f = settled(feats(spark, sf))
+    return lifecycle.states(f, settled(signals.primaries(signals.all_events(f)))).drop("max_age", "last")
 
 
 def lifecycle_counts(spark, sf):
@@ -39,22 +40,23 @@ def lifecycle_counts(spark, sf):
 
 
 def _judged(f):
-    first = signals.primaries(signals.all_events(f))
-    return score.judged(f, first, lifecycle.states(f, first))
+    """f: settled features, which every branch reads."""
+    first = settled(signals.primaries(signals.all_events(f)))
+    return score.judged(f, first, settled(lifecycle.states(f, first)))
 
 
 def eligibility(spark, sf):
-    rows = _judged(feats(spark, sf)).select("symbol", "bar_start", "kind", "pattern_id", "state", "anchor", "age", "reason", "contribution", "volume")
+    rows = _judged(settled(feats(spark, sf))).select("symbol", "bar_start", "kind", "pattern_id", "state", "anchor", "age", "reason", "contribution", "volume")
     return rounded(rows, "contribution", "volume")
 
 
 def market_assessment(spark, sf):
-    f = feats(spark, sf)
+    f = settled(feats(spark, sf))
     return rounded(score.assess(_judged(f), trend.broad(f)), "bullish", "bearish", "volume", "net", "conflict")
 
 
 def exclusion_reasons(spark, sf):
-    return _judged(feats(spark, sf)).groupBy("symbol", F.coalesce("reason", F.lit("counted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return _judged(settled(feats(spark, sf))).groupBy("symbol", F.coalesce("reason", F.lit("counted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (market_context_counts, group_primary_top1, cluster_islands, signal_scores, lifecycle_states, lifecycle_counts, eligibility, market_assessment, exclusion_reasons)}

@@ -67,3 +67,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"market_state"' in (tmp_path / "a.json").read_text()
     assert api.main(["analyze", "ABC", "--data-file", str(tmp_path / "none.csv")]) == 3
     assert api.main(["analyze", "ABC", "--data-file", path, "--output", str(tmp_path / "no" / "a.json")]) == 8
+
+
+def test_warnings_and_strict_mode(spark):
+    from candlemill.operators import validate
+
+    rows = bars(spark, [FLAT, (100.0, 99.0, 98.0, 98.5, 10.0), FLAT]).withColumn("input_id", -features.F.monotonically_increasing_id())
+    r = validate.warnings(rows, "15m", "2026-07-10 10:00:00").first()
+    assert r.warnings[0] == r.strict_error == "Input timestamps were unsorted." and r.warnings[-1].endswith("relative to interval 15m.")
+    with pytest.raises(ValueError, match="unsorted"):
+        validate.strict(rows, "15m", "2026-07-10 10:00:00")
+    fine = bars(spark, [FLAT] * 3).withColumn("input_id", features.F.monotonically_increasing_id())
+    assert validate.strict(fine, "15m", "2026-07-10 10:00:00").count() == 3
