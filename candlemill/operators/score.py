@@ -1,7 +1,6 @@
 """Which events count at a symbol's last bar, what each is worth, and what they say together.
 
-Clusters of rejections and doubles linked to breaks do not lower an event's worth here, and the confidence is not
-part of the bias.
+Doubles linked to breaks do not lower an event's worth here, and the confidence is not part of the bias.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import INTERVAL_SECONDS
+from .signals import bounded_worth, chained
 from .signals import DECAY, STRONG, TENTATIVE, TREND_POINTS, VOLUME_BONUS
 
 #: Why events of a state do not count; states in which an unconfirmed rejection counts a little;
@@ -17,6 +17,7 @@ from .signals import DECAY, STRONG, TENTATIVE, TREND_POINTS, VOLUME_BONUS
 LEFT_OUT = {"expired": "expired", "invalidated": "invalidated", "failed_breakout": "failed breakout", "failed_breakdown": "failed breakdown", "reclaimed": "level reclaimed"}
 PENDING = ("new", "active", "retested")
 LIVE = ("new", "active", "retested", "retest_pending", "retest_rejected", "directionally_confirmed")
+CLUSTERED = "clustered correlated evidence"
 PENDING_POINTS, CONFLICT, LEAST_NET, FRESH_BREAK = 1.5, 0.65, 12.0, 3
 UPWARD, DOWNWARD = ("bullish_pin_bar", "hammer", "double_bottom"), ("shooting_star", "double_top")
 
@@ -29,7 +30,7 @@ def judged(bars: DataFrame, first: DataFrame, states: DataFrame, interval: str =
     """Each first event with state, anchor (the bar its age counts from), age, reason (null where it counts),
     contribution and volume. Volume of one bar and bias counts once, for the event worth most."""
     keys = ["symbol", "bar_start", "kind"]
-    e = first.drop("zone").join(states.select(*keys, "state", "since", "last"), keys)
+    e = first.join(states.select(*keys, "state", "since", "last"), keys)
     moved = F.col("state").isin("retest_rejected", "retest_pending", *[s for s in LEFT_OUT if s != "expired"])
     e = e.withColumn("anchor", F.when(moved, F.col("since")).when(F.col("state") == "expired", F.col("last")).otherwise(F.col("bar_index")))
     step = F.make_dt_interval(secs=F.lit(INTERVAL_SECONDS[interval]))
@@ -48,7 +49,20 @@ def judged(bars: DataFrame, first: DataFrame, states: DataFrame, interval: str =
     whole = F.col("base") * fresh * F.when(F.col("strong"), STRONG).otherwise(1.0) * F.when(F.col("status") == "tentative", TENTATIVE).otherwise(1.0)
     e = e.withColumns({"reason": reason, "pending": pending}).withColumns({"contribution": F.when(F.col("reason").isNull(), signed(F.when(F.col("pending"), F.lit(PENDING_POINTS) * fresh).otherwise(whole))).otherwise(0.0), "_volume": F.when(F.col("reason").isNull() & F.col("loud") & ~F.col("pending"), signed(F.lit(VOLUME_BONUS) * fresh)).otherwise(0.0)})
     once = Window.partitionBy("symbol", "bar_index", "bias").orderBy((F.col("_volume") == 0), F.abs("contribution").desc(), "priority", "pattern_id")
-    return e.withColumn("volume", F.when(F.row_number().over(once) == 1, F.col("_volume")).otherwise(0.0)).drop("_volume", "anchor_day", "last_day")
+    return bounded(e.withColumn("volume", F.when(F.row_number().over(once) == 1, F.col("_volume")).otherwise(0.0)).drop("_volume", "anchor_day", "last_day"))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Of a chain of counted events in one zone only the one worth most counts, for a little more; the others are left out."""
+    keys = ["symbol", "bar_start", "kind"]
+    chain = Window.partitionBy("symbol", "family", "bias", "cluster")
+    c = chained(rows.filter("reason IS NULL"))
+    best = F.row_number().over(chain.orderBy(F.abs("contribution").desc(), "bar_index", "pattern_id")) == 1
+    c = c.select(*keys, F.count(F.lit(1)).over(chain).alias("members"), best.alias("best"), signed(bounded_worth(F.max(F.abs("contribution")).over(chain), F.count(F.lit(1)).over(chain).cast("double"))).alias("bound")).filter("members > 1")
+    out = rows.join(c, keys, "left")
+    lost = F.coalesce(~F.col("best"), F.lit(False))
+    new = {"reason": F.when(lost, CLUSTERED).otherwise(F.col("reason")), "contribution": F.when(lost, 0.0).otherwise(F.coalesce("bound", "contribution")), "volume": F.when(lost, 0.0).otherwise(F.col("volume"))}
+    return out.withColumns(new).drop("members", "best", "bound", "zone")
 
 
 def assess(rows: DataFrame, broad: DataFrame) -> DataFrame:

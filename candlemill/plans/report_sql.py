@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators.ranking import FAMILIES, PAST, RECENT, RECENT_BARS, STATE_RANK, STATUS_RANK, TOP
+from ..operators.ranking import PAST, RECENT, RECENT_BARS, STATE_RANK, STATUS_RANK, TOP
 from .bar_sql import BARS, FEATURES, OUTCOMES, SUMMARY
 from .bar_sql import SQL as BAR_SQL
-from .signal_sql import EVENTS, JUDGED
+from .signal_sql import EVENTS, FAMILY, JUDGED
 from .trend_sql import BROAD
 
 RATED = f"WITH signals AS ({EVENTS} SELECT symbol, bar_start, bar_index, pattern_id, bias FROM ev WHERE status = 'confirmed' AND bias <> 'Neutral'), {OUTCOMES}"
@@ -20,7 +20,6 @@ def names(those: tuple[str, ...]) -> str:
 
 
 RANKED = f"""{JUDGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {ranks("status", STATUS_RANK)}, {ranks("state", STATE_RANK)}, abs(contribution) DESC, last - bar_index, priority, name, bar_index, kind, bias) AS rank FROM judged)"""
-FAMILY = "CASE " + " ".join(f"WHEN pattern_id IN ({names(v)}) THEN '{k}'" for k, v in FAMILIES.items()) + " ELSE 'other' END"
 SQL = {
     "forward_outcomes": f"{RATED} SELECT symbol, bar_start, bar_index, pattern_id, bias, horizon, round(directional_return, 9) AS directional_return, round(mfe, 9) AS mfe, round(mae, 9) AS mae FROM results",
     "target_stop_first_touch": f"{RATED} SELECT symbol, bar_start, pattern_id, horizon, touch FROM results",

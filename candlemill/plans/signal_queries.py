@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, score, signals, trend
+from ..operators import features, lifecycle, score, signals, trend
 from ..operators.reuse import settled
-from .bar_queries import feats, rounded
+from ..sources.bars import bars_from_events, events
+from .bar_queries import INTERVAL, feats, rounded
 
 
 def market_context_counts(spark, sf):
@@ -17,12 +18,11 @@ def group_primary_top1(spark, sf):
     return signals.primaries(signals.all_events(feats(spark, sf))).select("symbol", "bar_start", "kind", "pattern_id", "name", "bias", "status", "base")
 
 
-#: Bars made of unrelated events lie far apart; with the default tolerance no two of them share a zone.
-WIDE_ZONE = 0.5
-
-
 def cluster_islands(spark, sf):
-    return signals.clusters(signals.primaries(signals.all_events(feats(spark, sf))), WIDE_ZONE)
+    """Prices of the table drawn together, so that zones meet as those of one instrument do."""
+    near = events(spark, sf).withColumn("value", F.lit(100.0) + F.col("value") / F.lit(1000.0))
+    f = settled(features.add_features(bars_from_events(near, INTERVAL)))
+    return signals.clusters(signals.primaries(signals.all_events(f)))
 
 
 def signal_scores(spark, sf):

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from ..operators.ranking import FAMILIES
 from ..operators.signals import WEIGHTS
 from .bar_sql import FEATURES
 from .trend_sql import BREAKS, BROAD, REJECTIONS, TOLERANCE
 
+FAMILY = "CASE " + " ".join(f"WHEN pattern_id IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in FAMILIES.items()) + " ELSE 'other' END"
 TABLE = ", ".join(f"('{k}', {b}, {p}, {s}, {a})" for k, (b, p, s, a) in WEIGHTS.items())
 EVENTS = f"""WITH raw AS (
-    SELECT symbol, bar_start, bar_index, pattern_id, pattern_id AS name, bias, CASE WHEN pattern_id = 'doji' THEN 'candidate' ELSE 'confirmed' END AS status, false AS strong FROM (WITH {FEATURES} SELECT * FROM patterns WHERE pattern_id NOT LIKE '%rejection')
-    UNION ALL SELECT symbol, bar_start, bar_index, pattern_id, name, bias, status, false FROM ({REJECTIONS})
-    UNION ALL SELECT symbol, bar_start, bar_index, pattern_id, pattern_id, bias, 'confirmed', strong FROM ({BREAKS})),
+    SELECT symbol, bar_start, bar_index, pattern_id, pattern_id AS name, bias, CASE WHEN pattern_id = 'doji' THEN 'candidate' ELSE 'confirmed' END AS status, false AS strong, NULL::DOUBLE AS level FROM (WITH {FEATURES} SELECT * FROM patterns WHERE pattern_id NOT LIKE '%rejection')
+    UNION ALL SELECT symbol, bar_start, bar_index, pattern_id, name, bias, status, false, NULL FROM ({REJECTIONS})
+    UNION ALL SELECT symbol, bar_start, bar_index, pattern_id, pattern_id, bias, 'confirmed', strong, level FROM ({BREAKS})),
   ev AS (SELECT raw.* , CASE WHEN strong THEN 26 ELSE w.base END AS base, priority, specificity, max_age, coalesce(volume_strength >= 1, false) AS loud,
       CASE WHEN pattern_id IN ('breakout', 'breakdown') THEN pattern_id WHEN pattern_id LIKE 'inside%' THEN 'inside:' || bias WHEN pattern_id LIKE '%engulfing' THEN 'engulfing:' || bias ELSE 'candlestick' END AS kind,
-      CASE WHEN pattern_id IN ('bullish_pin_bar', 'hammer', 'shooting_star') THEN CASE bias WHEN 'Bearish' THEN high WHEN 'Bullish' THEN low END END AS zone
-    FROM raw JOIN (VALUES {TABLE}) w(pattern_id, base, priority, specificity, max_age) USING (pattern_id) JOIN (WITH {FEATURES} SELECT symbol, bar_index, high, low, volume_strength FROM f) USING (symbol, bar_index)),
+      CASE WHEN pattern_id IN ('bullish_pin_bar', 'hammer', 'shooting_star') THEN CASE bias WHEN 'Bearish' THEN high WHEN 'Bullish' THEN low END WHEN pattern_id = 'morning_star' THEN star_low WHEN pattern_id = 'evening_star' THEN star_high WHEN pattern_id IN ('breakout', 'breakdown') THEN level END AS zone
+    FROM raw JOIN (VALUES {TABLE}) w(pattern_id, base, priority, specificity, max_age) USING (pattern_id) JOIN (WITH {FEATURES} SELECT symbol, bar_index, high, low, lag(high) OVER v AS star_high, lag(low) OVER v AS star_low, volume_strength FROM f WINDOW v AS (PARTITION BY symbol ORDER BY bar_start)) USING (symbol, bar_index)),
   first AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY symbol, bar_start, kind ORDER BY CASE status WHEN 'confirmed' THEN 0 WHEN 'tentative' THEN 1 ELSE 2 END, bias = 'Neutral', specificity DESC, name LIKE '%Rejection', priority, base DESC, name, pattern_id) = 1)"""
+def chains(events: str, tolerance: float) -> str:
+    """Relations up to ``chained``: events with a zone and the number of their chain."""
+    return f"""chain_zone AS (SELECT *, {FAMILY} AS family FROM {events} e WHERE zone IS NOT NULL AND bias <> 'Neutral'),
+  chain_pair AS (SELECT *, lag(bar_index) OVER w AS i, lag(zone) OVER w AS y FROM chain_zone WINDOW w AS (PARTITION BY symbol, family, bias ORDER BY bar_index, pattern_id)),
+  chain_mark AS (SELECT *, CASE WHEN bar_index - i <= 5 AND abs(zone - y) / greatest(abs(zone), abs(y), 1e-6) <= {tolerance}::DOUBLE AND NOT EXISTS (SELECT 1 FROM {events} o WHERE o.symbol = chain_pair.symbol AND o.bar_index > chain_pair.i AND o.bar_index < chain_pair.bar_index AND o.status = 'confirmed' AND o.bias <> 'Neutral' AND o.bias <> chain_pair.bias) THEN 0 ELSE 1 END AS fresh FROM chain_pair),
+  chained AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, family, bias ORDER BY bar_index, pattern_id) AS cluster FROM chain_mark)"""
+
+
+#: Prices of the table drawn together, so that zones meet as those of one instrument do.
+CLOSE_TABLE = "FROM (SELECT * REPLACE (100.0::DOUBLE + value / 1000.0::DOUBLE AS value) FROM events)"
 STATES = f"""{EVENTS}, b AS (WITH {FEATURES} SELECT symbol, bar_index, open, high, low, close, atr, bar_range, rolling_high, rolling_low, lag(close) OVER w AS pc,
       least(low, lag(low) OVER w) AS l2, greatest(high, lag(high) OVER w) AS h2, min(low) OVER v AS l3, max(high) OVER v AS h3, max(bar_index) OVER (PARTITION BY symbol) AS last
     FROM f WINDOW w AS (PARTITION BY symbol ORDER BY bar_index), v AS (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
@@ -49,7 +61,11 @@ JUDGED = f"""{STATES}, days AS (SELECT symbol, bar_index, (bar_start + INTERVAL
       WHEN state IN ('expired', 'invalidated') THEN state WHEN state LIKE 'failed%' THEN replace(state, '_', ' ') WHEN state = 'reclaimed' THEN 'level reclaimed' WHEN status = 'tentative' THEN 'unconfirmed structural pattern' WHEN age > max_age THEN 'outside scoring horizon' END AS reason FROM dated),
   worthy AS (SELECT *, CASE WHEN reason IS NULL THEN CASE bias WHEN 'Bullish' THEN 1 ELSE -1 END * pow(0.85::DOUBLE, age) ELSE 0 END AS unit FROM reasoned),
   paid AS (SELECT *, unit * CASE WHEN pending THEN 1.5::DOUBLE ELSE base * CASE WHEN strong THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN status = 'tentative' THEN 0.5::DOUBLE ELSE 1 END END AS contribution, CASE WHEN loud AND NOT pending THEN unit * 2.5::DOUBLE ELSE 0 END AS vol FROM worthy),
-  judged AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol, bar_index, bias ORDER BY vol = 0, abs(contribution) DESC, priority, pattern_id) = 1 THEN vol ELSE 0 END AS volume FROM paid)"""
+  single AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol, bar_index, bias ORDER BY vol = 0, abs(contribution) DESC, priority, pattern_id) = 1 THEN vol ELSE 0 END AS volume FROM paid),
+  {chains("(SELECT * FROM single WHERE reason IS NULL)", 0.006)},
+  sized AS (SELECT symbol, bar_start, kind, count(*) OVER c AS members, max(abs(contribution)) OVER c AS best, row_number() OVER (PARTITION BY symbol, family, bias, cluster ORDER BY abs(contribution) DESC, bar_index, pattern_id) AS k FROM chained WINDOW c AS (PARTITION BY symbol, family, bias, cluster)),
+  judged AS (SELECT s.* EXCLUDE (reason, contribution, volume), CASE WHEN members > 1 AND k > 1 THEN 'clustered correlated evidence' ELSE reason END AS reason, CASE WHEN members > 1 AND k > 1 THEN 0 ELSE volume END AS volume,
+      CASE WHEN members > 1 AND k > 1 THEN 0 WHEN members > 1 THEN CASE bias WHEN 'Bullish' THEN 1 ELSE -1 END * least(best + 1.5::DOUBLE * (members - 1), best * 1.35::DOUBLE) ELSE contribution END AS contribution FROM single s LEFT JOIN sized USING (symbol, bar_start, kind))"""
 SQL = {
     "eligibility": f"{JUDGED} SELECT symbol, bar_start, kind, pattern_id, state, anchor, age, reason, round(contribution, 9) AS contribution, round(volume, 9) AS volume FROM judged",
     "exclusion_reasons": f"{JUDGED} SELECT symbol, coalesce(reason, 'counted') AS reason, count(*) AS n FROM judged GROUP BY ALL",
@@ -70,10 +86,8 @@ SQL = {
     "lifecycle_counts": f"{STATES} SELECT pattern_id, bias, state, count(*) AS n FROM states GROUP BY ALL",
     "market_context_counts": f"{EVENTS} SELECT symbol, pattern_id, bias, status, count(*) AS n FROM ev GROUP BY ALL",
     "group_primary_top1": f"{EVENTS} SELECT symbol, bar_start, kind, pattern_id, name, bias, status, base FROM first",
-    "cluster_islands": f"""{EVENTS}, z AS (SELECT a.*, lag(bar_index) OVER w AS i, lag(zone) OVER w AS y FROM first a WHERE zone IS NOT NULL WINDOW w AS (PARTITION BY symbol, bias ORDER BY bar_index)),
-      marked AS (SELECT *, CASE WHEN bar_index - i <= 5 AND abs(zone - y) / greatest(abs(zone), abs(y)) <= 0.5::DOUBLE AND NOT EXISTS (SELECT 1 FROM first o WHERE o.symbol = z.symbol AND o.bar_index > z.i AND o.bar_index < z.bar_index AND o.status = 'confirmed' AND o.bias <> 'Neutral' AND o.bias <> z.bias) THEN 0 ELSE 1 END AS fresh FROM z),
-      chained AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, bias ORDER BY bar_index) AS c FROM marked)
-      SELECT symbol, bias, min(bar_index) AS first_bar, max(bar_index) AS last_bar, count(*) AS members, CASE bias WHEN 'Bullish' THEN 1 ELSE -1 END * least(max(base) + 1.5::DOUBLE * (count(*) - 1), max(base) * 1.35::DOUBLE) AS bounded FROM chained GROUP BY symbol, bias, c HAVING count(*) > 1""",
+    "cluster_islands": f"""{EVENTS.replace("FROM events", CLOSE_TABLE)}, {chains("first", 0.006)}
+      SELECT symbol, family, bias, min(bar_index) AS first_bar, max(bar_index) AS last_bar, count(*) AS members, CASE bias WHEN 'Bullish' THEN 1 ELSE -1 END * least(max(base) + 1.5::DOUBLE * (count(*) - 1), max(base) * 1.35::DOUBLE) AS bounded FROM chained GROUP BY symbol, family, bias, cluster HAVING count(*) > 1""",
     "signal_scores": f"""{EVENTS}, broad AS ({BROAD}), ends AS (SELECT b.symbol, max(f.bar_index) AS last, arg_max(b.trend, f.bar_index) AS trend FROM broad b JOIN (WITH {FEATURES} SELECT symbol, bar_start, bar_index FROM f) f USING (symbol, bar_start) GROUP BY 1),
       worth AS (SELECT symbol, CASE bias WHEN 'Bullish' THEN 1 WHEN 'Bearish' THEN -1 ELSE 0 END * pow(0.85::DOUBLE, last - bar_index) AS unit, base * CASE WHEN strong THEN 1.15::DOUBLE ELSE 1 END AS b, loud FROM first JOIN ends USING (symbol) WHERE status = 'confirmed' AND last - bar_index <= max_age),
       sums AS (SELECT symbol, sum(greatest(unit * b, 0)) AS bullish, sum(-least(unit * b, 0)) AS bearish, sum(CASE WHEN loud THEN unit * 2.5::DOUBLE ELSE 0 END) AS volume FROM worth GROUP BY 1),

@@ -79,3 +79,21 @@ def test_warnings_and_strict_mode(spark):
         validate.strict(rows, "15m", "2026-07-10 10:00:00")
     fine = bars(spark, [FLAT] * 3).withColumn("input_id", features.F.monotonically_increasing_id())
     assert validate.strict(fine, "15m", "2026-07-10 10:00:00").count() == 3
+
+
+def test_chain_of_rejections_counts_once(spark):
+    """Three upper rejections in one zone and, far above, another: the best of the three counts, for two repetitions more."""
+    from candlemill.operators import score, signals
+
+    row = lambda i, zone, worth, pattern="shooting_star", bias="Bearish": ("S", START_DAY + dt.timedelta(hours=i), "candlestick", i, pattern, bias, "confirmed", 10, zone, worth, -2.5, None)
+    rows = [row(1, 100.0, -8.0), row(3, 100.2, -10.0), row(8, 100.1, -7.0), row(9, 103.0, -6.0), row(2, 100.0, 15.0, "bullish_engulfing", "Bullish")]
+    rows[4] = (*rows[4][:6], "tentative", *rows[4][7:8], None, *rows[4][9:])
+    df = spark.createDataFrame(rows, "symbol string, bar_start timestamp_ntz, kind string, bar_index int, pattern_id string, bias string, status string, base int, zone double, contribution double, volume double, reason string")
+    got = {r.bar_index: (r.contribution, r.volume, r.reason) for r in score.bounded(df).collect()}
+    left = (0.0, 0.0, "clustered correlated evidence")
+    assert got == {1: left, 3: (-13.0, -2.5, None), 8: left, 9: (-6.0, -2.5, None), 2: (15.0, -2.5, None)}
+    (chain,) = signals.clusters(df.drop("reason")).collect()
+    assert (chain.first_bar, chain.last_bar, chain.members, chain.family, chain.bounded) == (1, 8, 3, "candlestick_reversal", -13.0)
+
+
+START_DAY = dt.datetime(2026, 7, 10)
