@@ -137,11 +137,11 @@ def breaks(df: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
 WATCH = 24
 
 
-def double_outcomes(df: DataFrame, top: bool = True, cfg: PatternConfig = PatternConfig()) -> DataFrame:
+def double_outcomes(df: DataFrame, top: bool = True, cfg: PatternConfig = PatternConfig(), more: tuple[str, ...] = ()) -> DataFrame:
     """Each double setup with its status (tentative, confirmed, failed, expired) and the bar that decided it.
 
     A setup is known pivot_bars after its second pivot. The bars watched are listed by index, so they
-    join on (symbol, bar_index) and a setup meets at most WATCH rows.
+    join on (symbol, bar_index) and a setup meets at most WATCH rows. more: further columns of the setups to return.
     """
     setups = double_setups(df, top, cfg)
     at_second = df.select("symbol", F.col("bar_index").alias("i2"), "atr", "bar_range", (F.count(F.lit(1)).over(Window.partitionBy("symbol")) - 1).alias("last"))
@@ -156,4 +156,4 @@ def double_outcomes(df: DataFrame, top: bool = True, cfg: PatternConfig = Patter
     out = s.join(first, ["symbol", "i1", "i2"], "left")
     over = F.col("known") + WATCH
     status = F.coalesce("met", F.when(over <= F.col("last"), "expired").otherwise("tentative"))
-    return out.select("symbol", "i1", "i2", "neckline", "known", status.alias("status"), F.coalesce("at", F.when(over <= F.col("last"), over)).alias("decided"))
+    return out.select("symbol", "i1", "i2", "neckline", "known", status.alias("status"), F.coalesce("at", F.when(over <= F.col("last"), over)).alias("decided"), *more)

@@ -99,7 +99,7 @@ BREAKS = f"""WITH RECURSIVE {FEATURES}, both_sides AS ({_side('breakout', 'Bulli
   SELECT symbol, bar_start, bar_index, pattern_id, bias, level, strong FROM sparse JOIN (SELECT symbol, pattern_id, k FROM fold WHERE fires) USING (symbol, pattern_id, k)"""
 
 
-def double_outcomes(top: bool) -> str:
+def double_outcomes(top: bool, more: str = "") -> str:
     outer, down = ("greatest(p1, p2)", 1) if top else ("least(p1, p2)", -1)
     inner = doubles(top)
     return f"""WITH setups AS ({inner}), {FEATURES},
@@ -109,7 +109,7 @@ def double_outcomes(top: bool) -> str:
           arg_min((neckline - close) * {down} > tol, CASE WHEN (neckline - close) * {down} > tol OR (close - edge) * {down} > edge_tol THEN bar_index END) AS good
         FROM s JOIN f ON f.symbol = s.symbol AND f.bar_index BETWEEN known + 1 AND known + 24 GROUP BY ALL)
       SELECT symbol, i1, i2, neckline, known, CASE WHEN met_at IS NOT NULL THEN CASE WHEN good THEN 'confirmed' ELSE 'failed' END WHEN known + 24 <= last THEN 'expired' ELSE 'tentative' END AS status,
-        coalesce(met_at, CASE WHEN known + 24 <= last THEN known + 24 END) AS decided FROM s LEFT JOIN hits USING (symbol, i1) WHERE known <= last"""
+        coalesce(met_at, CASE WHEN known + 24 <= last THEN known + 24 END) AS decided{more} FROM s LEFT JOIN hits USING (symbol, i1) WHERE known <= last"""
 
 
 SQL = {

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.assessment_queries import QUERIES as ASSESSMENT_QUERIES
+from .plans.assessment_sql import SQL as ASSESSMENT_SQL
 from .plans.bar_queries import QUERIES, feats
 from .plans.bar_sql import SQL
 from .plans.report_queries import QUERIES as REPORT_QUERIES
@@ -24,8 +26,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | REPORT_QUERIES | TREND_QUERIES | SIGNAL_QUERIES | SOURCE_QUERIES
+    return QUERIES | ASSESSMENT_QUERIES | REPORT_QUERIES | TREND_QUERIES | SIGNAL_QUERIES | SOURCE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | REPORT_SQL | TREND_SQL | SIGNAL_SQL | SOURCE_SQL
+    return SQL | ASSESSMENT_SQL | REPORT_SQL | TREND_SQL | SIGNAL_SQL | SOURCE_SQL
