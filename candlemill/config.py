@@ -54,8 +54,8 @@ class EvaluationConfig:
     """What a signal is held against afterwards."""
 
     horizons: tuple[int, ...] = (1, 3, 6)
-    target_return: float = 0.004
-    stop_return: float = 0.002
+    target_return: float = 0.01
+    stop_return: float = 0.005
     same_bar: str = "ambiguous"
 
     def __post_init__(self):

@@ -83,7 +83,7 @@ def _touch(h: int) -> str:
     frame = f"(PARTITION BY symbol ORDER BY bar_start ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
     return (
         f"SELECT symbol, bar_index, {h} AS horizon, close, lead(close, {h}) OVER w AS exit, max(high) OVER {frame} AS top, min(low) OVER {frame} AS bottom, "
-        f"{part(up, 0.004)} AS bull_t, {part(down, 0.002)} AS bull_s, {part(down, 0.004)} AS bear_t, {part(up, 0.002)} AS bear_s FROM f WINDOW w AS (PARTITION BY symbol ORDER BY bar_start)"
+        f"{part(up, 0.01)} AS bull_t, {part(down, 0.005)} AS bull_s, {part(down, 0.01)} AS bear_t, {part(up, 0.005)} AS bear_s FROM f WINDOW w AS (PARTITION BY symbol ORDER BY bar_start)"
     )
 
 
