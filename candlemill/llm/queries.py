@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontamination
+from .fill_middle import SQL as FILL_MIDDLE_SQL
+from .fill_middle import op11_fill_middle
 from .fingerprint import op6_winnow_fingerprints
 from .hilbert_shards import op1_hilbert_shards
 from .html_text import op8_main_text
@@ -16,9 +18,9 @@ from .suffix_dedup import op4_suffix_dedup
 
 
 def queries() -> dict:
-    own = (op1_hilbert_shards, op2_decontamination, op3_byte_bpe, op4_suffix_dedup, op5_simhash_dedup, op6_winnow_fingerprints, op7_line_dedup, op8_main_text, op9_quality_nbsvm, op10_license_scan)
+    own = (op1_hilbert_shards, op2_decontamination, op3_byte_bpe, op4_suffix_dedup, op5_simhash_dedup, op6_winnow_fingerprints, op7_line_dedup, op8_main_text, op9_quality_nbsvm, op10_license_scan, op11_fill_middle)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op7_line_dedup": LINE_DEDUP_SQL, "op11_fill_middle": FILL_MIDDLE_SQL}
