@@ -28,7 +28,7 @@ UNIT, RUN = "[A-Za-z]+|[^A-Za-z]", "[A-Za-z]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 FIM_SHARE, SPM_SHARE = 90, 20
 #: Code points of a piece at least, and pieces of a text at most.
-PIECE, PIECES = 2048, 64
+PIECE, PIECES = 512, 64
 RESULTS = ("n", "form", "prefix_chars", "middle_chars", "output")
 
 
