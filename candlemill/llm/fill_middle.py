@@ -57,38 +57,38 @@ def content(doc: Column, text: Column) -> list[Column]:
 
 
 def pieces_to_cut(rows: DataFrame) -> DataFrame:
-    """For each row that is cut, the pieces that hold the unit before a cut: its lengths of units, and the requests."""
+    """For each row that is cut, the pieces that hold the unit before a cut: its lengths of units, and the requests.
+
+    Each piece is taken with the code point before it (a dot before the first), so its first unit is the last one that
+    began before the piece, ends at or after the border, and has that one code point too many.
+    """
     size = F.greatest(F.lit(PIECE), F.ceil(F.char_length("_text") / PIECES).cast("int"))
     begin = lambda i: (i * F.col("_size")).cast("int")
-    # a run of letters that crosses a border belongs to the piece where it begins; its rest adds to the same unit
-    goes_on = lambda i: ((i > 0) & F.substring("_text", begin(i), F.lit(2)).rlike("^[A-Za-z]{2}")).cast("int")
-    begun = lambda i: n_units(F.substring("_text", begin(i) + 1, F.col("_size"))) - goes_on(i)
-    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.char_length("_text") / F.col("_size")).cast("int") - 1))
-    counted = rows.withColumn("_size", size).withColumn("_counts", F.transform(numbers, begun))
-    n = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    h1, h2 = F.col("_h1") % (F.col("n") + 1), F.col("_h2") % (F.col("n") + 1)
+    piece = lambda i: F.substring("_dotted", begin(i) + 1, F.col("_size") + 1)
+    dotted = rows.select("_k1", "_k2", "_h1", "_h2", size.alias("_size"), F.concat(F.lit("."), "_text").alias("_dotted"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.char_length("_dotted") - 1) / F.col("_size")).cast("int") - 1))
+    begun = dotted.withColumn("_begun", F.transform(numbers, lambda i: n_units(piece(i)) - 1))
+    before = F.aggregate("_begun", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    placed = begun.withColumn("_before", before).withColumn("_n", F.element_at("_before", -1))
+    h1, h2 = F.col("_h1") % (F.col("_n") + 1), F.col("_h2") % (F.col("_n") + 1)
     cuts = F.array(F.struct(F.lit("prefix").alias("part"), F.least(h1, h2).alias("unit")), F.struct(F.lit("middle").alias("part"), F.greatest(h1, h2).alias("unit")))
-    counted = counted.withColumn("n", n).withColumn("_cuts", cuts)
-    # units before each piece, and after the last
-    before = F.aggregate("_counts", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    placed = counted.withColumn("_before", before).select("_k1", "_k2", "_text", "_size", "n", "_cuts", F.posexplode("_counts").alias("piece", "_own"), "_before")
-    first = F.element_at("_before", F.col("piece") + 1)
-    # a unit may go on in the next piece, whose rest then belongs to the same ordinal
-    held = lambda c: (c["unit"] > 0) & (c["unit"] > first - goes_on(F.col("piece"))) & (c["unit"] <= first + F.col("_own"))
-    wanted = placed.withColumn("requests", F.filter("_cuts", held)).filter(F.size("requests") > 0)
-    most = F.array_max(F.transform("requests", lambda c: c["unit"])) - first + goes_on(F.col("piece"))
-    lengths = F.transform(F.regexp_extract_all(F.substring("_text", begin(F.col("piece")) + 1, F.col("_size")), F.lit(UNIT), F.lit(0)), lambda x: F.char_length(x))
-    return wanted.select("_k1", "_k2", "piece", "n", "requests", F.slice(lengths, F.lit(1), most.cast("int")).alias("lengths"), (first - goes_on(F.col("piece"))).alias("units_before"), begin(F.col("piece")).cast("long").alias("chars_before"))
+    held = lambda i: lambda c: (c["unit"] > 0) & (c["unit"] >= F.element_at("_before", i + 1)) & (c["unit"] <= F.element_at("_before", i + 2))
+    placed = placed.withColumn("_cuts", cuts)
+    wanted = placed.withColumn("piece", F.explode(F.filter(F.sequence(F.lit(0), F.size("_begun") - 1), lambda i: F.exists("_cuts", held(i)))))
+    wanted = wanted.withColumn("requests", F.filter("_cuts", held(F.col("piece")))).withColumn("first", F.element_at("_before", F.col("piece") + 1))
+    most = F.array_max(F.transform("requests", lambda c: c["unit"])) - F.col("first") + 1
+    lengths = F.transform(F.regexp_extract_all(piece(F.col("piece")), F.lit(UNIT), F.lit(0)), lambda x: F.char_length(x))
+    return wanted.select("_k1", "_k2", "piece", "requests", "first", F.slice(lengths, F.lit(1), most.cast("int")).alias("lengths"), (begin(F.col("piece")).cast("long") - 1).alias("chars_before"))
 
 
 def offsets(rows: DataFrame) -> DataFrame:
     """Code points before each cut, for each content that is cut: n, prefix_end, middle_end."""
     cut = settled(pieces_to_cut(rows))
     # contents that repeat meet before the shuffle
-    once = cut.select("_k1", "_k2", "piece", "lengths", "units_before", "chars_before").dropDuplicates(["_k1", "_k2", "piece"])
-    units = once.select("_k1", "_k2", "piece", "units_before", "chars_before", F.posexplode("lengths").alias("at", "length"))
+    once = cut.select("_k1", "_k2", "piece", "lengths", "first", "chars_before").dropDuplicates(["_k1", "_k2", "piece"])
+    units = once.select("_k1", "_k2", "piece", "first", "chars_before", F.posexplode("lengths").alias("at", "length"))
     ends = F.sum("length").over(Window.partitionBy("_k1", "_k2", "piece").orderBy("at"))
-    units = units.select("_k1", "_k2", "piece", (F.col("units_before") + F.col("at") + 1).alias("ordinal"), (F.col("chars_before") + ends).alias("end"))
+    units = units.select("_k1", "_k2", "piece", (F.col("first") + F.col("at")).alias("ordinal"), (F.col("chars_before") + ends).alias("end"))
     requests = cut.select("_k1", "_k2", "piece", F.explode("requests").alias("c")).select("_k1", "_k2", "piece", F.col("c.part").alias("part"), F.col("c.unit").alias("unit")).distinct()
     # the units stay where they are: they are partitioned by piece, and ordinals are compared within it
     met = units.join(requests, ["_k1", "_k2", "piece"]).filter((F.col("ordinal") - F.col("unit")) == 0)
