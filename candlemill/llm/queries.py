@@ -15,10 +15,11 @@ from .line_dedup import op7_line_dedup
 from .nbsvm import op9_quality_nbsvm
 from .simhash import op5_simhash_dedup
 from .suffix_dedup import op4_suffix_dedup
+from .toxicity import op13_toxicity
 
 
 def queries() -> dict:
-    own = (op1_hilbert_shards, op2_decontamination, op3_byte_bpe, op4_suffix_dedup, op5_simhash_dedup, op6_winnow_fingerprints, op7_line_dedup, op8_main_text, op9_quality_nbsvm, op10_license_scan, op11_fill_middle)
+    own = (op1_hilbert_shards, op2_decontamination, op3_byte_bpe, op4_suffix_dedup, op5_simhash_dedup, op6_winnow_fingerprints, op7_line_dedup, op8_main_text, op9_quality_nbsvm, op10_license_scan, op11_fill_middle, op13_toxicity)
     return {f.__name__: f for f in own}
 
 
