@@ -50,11 +50,8 @@ HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 LOOK, ITSELF, NOTHING, STAR, BORDER, JOINT, SINGLE, LESS = 1.0, 5.0, 3.0, 3.3, 0.5, 1.5, 0.8, 4.0
 EDGES = re.compile(r"^[^\w@$!|+(<€£¢*#]+|[^\w@$|+<€£¢*#]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A token of letters alone, none twice in a row.
-CLEAN = re.compile(r"(?:([^\W\d_])(?!\1))+")
-#: A token of letters alone, none three times in a row, and what is doubled in it.
-PAIRS = re.compile(r"(?:([^\W\d_])(?!\1\1))+")
-PAIR = re.compile(r"([^\W\d_])\1")
+STOPS = ".,;:?\"/()[]{}%&"
+PAIR, TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
 #: Single signs with the same mark between all of them.
 MARKED = re.compile(r"[^\W_]([.\-_~^'])[^\W_](?:\1[^\W_])+")
 #: Pieces of a token that are read together.
@@ -219,24 +216,26 @@ class Restorer:
 
     def expected(self, word: str) -> bool:
         """Whether each doubled letter costs no more than the channel takes for reading it as one."""
-        signs = [0, 0, 0, *map(sign, word)]
         for m in PAIR.finditer(word):
             at = m.end() - 1
-            a, b, c, d = signs[at : at + 4]
-            if self.costs[(a << 5 | b) << 10 | c << 5 | d] > LESS:
+            code = 0
+            for c in word[max(0, at - 3) : at + 1]:
+                code = code << 5 | ord(FOLD[ord(c)]) & 31
+            if self.costs[code] > LESS:
                 return False
         return True
 
     def as_written(self, word: str) -> bool:
-        if not (CLEAN.fullmatch(word) or PAIRS.fullmatch(word) and self.expected(word)):
+        """Letters alone, none three times in a row nor doubled against expectation, of one script."""
+        if not word.isalpha() or PAIR.search(word) and (TRIPLE.search(word) or not self.expected(word)):
             return False
         return word.isascii() or not any(c in TWINS for c in word) or not any("a" <= c <= "z" for c in word)
 
     def read(self, token: str) -> tuple[str, ...]:
-        core = EDGES.sub("", token)
+        core = token.strip(STOPS)
         if self.as_written(core):
             return (core,)
-        out = []
+        core, out = EDGES.sub("", core), []
         for piece in PIECE.findall(core):
             if self.as_written(piece):
                 out.append(piece)
@@ -249,12 +248,11 @@ class Restorer:
         """Words of a run of single letters between spaces."""
         return tuple(LETTERS.findall(self.best(self.lattice(" ".join(singles)))))
 
-    def counted(self, text: str | None) -> Counter:
-        """Restored words of a text and how often each occurs."""
-        tokens = plain(text).split()
-        out: Counter = Counter()
-        at = 0
+    def tokens(self, text: str | None) -> Counter:
+        """Tokens of a text and how often each occurs; runs of single letters that are joined stand as tuples of words."""
+        tokens, runs = plain(text).split(), []
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
+        at = 0
         # runs of three or more tokens of one sign each
         while at < len(single):
             end = at + 1
@@ -262,14 +260,19 @@ class Restorer:
                 end += 1
             if end - at >= 3:
                 i, j = single[at], single[end - 1] + 1
-                out.update(self.joined(tokens[i:j]))
+                runs.append(self.joined(tokens[i:j]))
                 tokens[i:j] = [""] * (j - i)
             at = end
         counts = Counter(tokens)
         counts.pop("", None)
-        known = self.memo.get
-        for token, times in counts.items():
-            for w in known(token) or self.words(token):
+        counts.update(runs)
+        return counts
+
+    def counted(self, text: str | None) -> Counter:
+        """Restored words of a text and how often each occurs."""
+        out: Counter = Counter()
+        for token, times in self.tokens(text).items():
+            for w in self.words(token) if type(token) is str else token:
                 out[w] += times
         return out
 
@@ -292,23 +295,28 @@ def strength(count: np.ndarray, n: int) -> np.ndarray:
 class Model:
     def __init__(self, names: list[str], weights: np.ndarray, bias: float):
         self.index, self.weights, self.bias = {x: i for i, x in enumerate(names)}, weights, bias
+        # no other word has a feature
+        self.begins = {x[1:4] for x in names}
 
-    def values(self, words: Counter, ids: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes and strengths of the features of a text. ids: features of words met before."""
-        got: Counter = Counter()
-        for w, times in words.items():
-            own = ids.get(w)
+    def values(self, text: str | None, restorer: Restorer, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes and strengths of the features of a text. memo: words and features of tokens met before."""
+        counts, n, got = restorer.tokens(text), 0, {}
+        known, index, begins = memo.get, self.index, self.begins
+        for token, times in counts.items():
+            own = known(token)
             if own is None:
-                if len(ids) >= MEMO:
-                    ids.clear()
-                own = ids[w] = tuple(self.index[x] for x in features(w) if x in self.index)
-            for i in own:
-                got[i] += times
+                words = restorer.read(token) if type(token) is str else token
+                if len(memo) >= MEMO:
+                    memo.clear()
+                own = memo[token] = (len(words), tuple(index[x] for w in words if w[:3] in begins for x in features(w) if x in index))
+            n += times * own[0]
+            for i in own[1]:
+                got[i] = got.get(i, 0) + times
         at = np.array(sorted(got), np.int64)
-        return at, strength(np.array([got[i] for i in at], float), sum(words.values()))
+        return at, strength(np.array([got[i] for i in at], float), n)
 
-    def score(self, words: Counter, ids: dict) -> float:
-        at, x = self.values(words, ids)
+    def score(self, text: str | None, restorer: Restorer, memo: dict) -> float:
+        at, x = self.values(text, restorer, memo)
         return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x + self.bias, -500, 500))))
 
 
@@ -339,37 +347,47 @@ def train(documents: DataFrame, labels: DataFrame, restorer: Restorer, text: str
     bounded = settled(texts.select("_h", "_y", "_text").dropDuplicates(["_h"]).orderBy("_h").limit(MAX_TRAIN).repartition(parallelism(documents.sparkSession), "_h"))
     shared = documents.sparkSession.sparkContext.broadcast(restorer)
 
-    def parts(batches):
+    def sums(batches):
+        # strengths by feature and class of what this task reads
+        total: dict[str, list] = {}
         for batch in batches:
-            rows = [(h, y, shared.value.counted(t)) for h, y, t in zip(batch.column("_h").to_pylist(), batch.column("_y").to_pylist(), batch.column("_text").to_pylist(), strict=True)]
-            out = []
-            for h, y, words in rows:
+            for y, t in zip(batch.column("_y").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                words = shared.value.counted(t)
                 own: Counter = Counter()
                 for w, n in words.items():
                     for f in features(w):
                         own[f] += n
-                out += [(h, y, sum(words.values()), f, n) for f, n in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["h", "y", "words", "f", "n"])
+                for f, x in zip(own, strength(np.array(list(own.values()), float), words.total()).tolist(), strict=True):
+                    row = total.setdefault(f, [0.0, 0.0, 0])
+                    row[y] += x
+                    row[2] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *[pa.array([r[k] for r in total.values()], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]], names=["f", "s0", "s1", "texts"])
 
-    found = settled(bounded.mapInArrow(parts, "h long, y int, words long, f string, n long"))
     sizes = {r._y: r.n for r in bounded.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model([], np.zeros(0), float(np.log(share / (1 - share))))
-    # how far the share of texts of each class that hold a feature strongly lie apart
-    x = 1 - F.exp(-60.0 * F.col("n") / F.col("words"))
-    by_class = found.groupBy("f").agg(*[F.sum(F.when(F.col("y") == k, x).otherwise(0.0)).alias(f"s{k}") for k in (0, 1)], F.countDistinct("h").alias("texts")).filter("texts >= 3")
-    p1, p0 = (F.col("s1") + 0.1) / (sizes[1] + 0.2), (F.col("s0") + 0.1) / (sizes[0] + 0.2)
-    apart = F.abs(F.round((p1 - p0) * F.log(p1 / p0), 9))
-    names = [r.f for r in by_class.orderBy(apart.desc(), "f").limit(FEATURES).collect()]
-    model = Model(sorted(names), np.zeros(len(names)), 0.0)
-    spots = {r._h: (i, r._y) for i, r in enumerate(bounded.select("_h", "_y").orderBy("_h").collect())}
-    matrix = np.zeros((len(spots), len(names)))
-    kept = found.join(F.broadcast(found.sparkSession.createDataFrame([(f, i) for f, i in model.index.items()], "f string, i int")), "f")
-    # at most MAX_TRAIN texts of FEATURES features
-    for r in kept.select("h", "i", x.alias("x")).toLocalIterator():
-        matrix[spots[r.h][0], r.i] = r.x
-    model.weights, model.bias = fit(matrix, np.array([y for _, y in spots.values()], float))
+    found = bounded.mapInArrow(sums, "f string, s0 double, s1 double, texts long").groupBy("f").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"), F.sum("texts").alias("texts")).filter("texts >= 3")
+    # how far the shares of texts of each class that hold a feature strongly lie apart
+    p1, p0 = (F.round("s1", 6) + 0.1) / (sizes[1] + 0.2), (F.round("s0", 6) + 0.1) / (sizes[0] + 0.2)
+    apart = F.round(F.abs((p1 - p0) * F.log(p1 / p0)), 9)
+    names = sorted(r.f for r in found.orderBy(apart.desc(), "f").limit(FEATURES).collect())
+    model = Model(names, np.zeros(len(names)), 0.0)
+    both = documents.sparkSession.sparkContext.broadcast((restorer, model))
+
+    def vectors(batches):
+        own, judge = both.value
+        memo: dict = {}
+        for batch in batches:
+            got = [judge.values(t, own, memo) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_y"), pa.array([g[0].tolist() for g in got], pa.list_(pa.int32())), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64()))], names=["h", "y", "at", "x"])
+
+    # at most MAX_TRAIN rows of FEATURES values
+    rows = sorted(bounded.mapInArrow(vectors, "h long, y int, at array<int>, x array<double>").collect())
+    matrix = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        matrix[i, r["at"]] = r.x
+    model.weights, model.bias = fit(matrix, np.array([r.y for r in rows], float))
     return model
 
 
@@ -386,9 +404,9 @@ def score(documents: DataFrame, restorer: Restorer, model: Model, text: str = "t
 
     def run(batches):
         own, judge = shared.value
-        ids: dict = {}
+        memo: dict = {}
         for batch in batches:
-            values = [judge.score(own.counted(t.as_py()), ids) for t in batch.column("_text")]
+            values = [judge.score(t, own, memo) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(values, pa.float64()), pa.array([int(v >= THRESHOLD) for v in values], pa.int32())], names=schema.names)
 
     return rows.mapInArrow(run, schema).select(*columns, *RESULTS)
