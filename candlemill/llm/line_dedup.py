@@ -10,7 +10,7 @@ is gathered in one place.
 
 The hash of a key has 128 bits. Null and empty texts have one empty line, which stays. Rows that repeat a
 doc_id count as one document, and each loses lines of its own text. Null doc_ids: such rows keep all their
-lines and count for nothing. Long texts are split whole. Extra columns pass through ``apply_bitmaps``; those with
+lines and count for nothing. Ids that are no whole numbers are numbered in their order first. Long texts are split whole. Extra columns pass through ``apply_bitmaps``; those with
 the name of a result are replaced by it.
 """
 
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import ASCII_LOWER, aside, carried, parallelism, picked, prepare, schema_with
+from .common import ASCII_LOWER, aside, carried, parallelism, picked, prepare, schema_with, settled, with_rank
 
 BLANK = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -121,23 +122,27 @@ def dropped_lines(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     def _with_tail(batches):
         """Batches cut at keys. A key longer than a batch is passed on in parts if its count is known already."""
-        held, known = None, shared.value
+        held, known = [], shared.value
         for batch in batches:
             part = [batch.column(c).to_numpy() for c in ("hi", "lo", "doc_id", "row", "position")]
             if not len(part[0]):
                 continue
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
             hi, lo = part[:2]
-            cut = int(np.flatnonzero((hi != hi[-1]) | (lo != lo[-1]))[-1]) + 1 if (hi[0] != hi[-1] or lo[0] != lo[-1]) else 0
+            if held and hi[0] == hi[-1] == held[-1][0][-1] and lo[0] == lo[-1] == held[-1][1][-1]:
+                held.append(part)  # still the same key
+                continue
+            if held:
+                part, held = [np.concatenate(x) for x in zip(*held, part, strict=True)], []
+            hi, lo = part[:2]
             if (int(hi[-1]), int(lo[-1])) in known:
-                cut_now, held = part, None
-            else:
-                cut_now, held = [x[:cut] for x in part], [x[cut:] for x in part]
-            if len(cut_now[0]):
-                yield cut_now
-        if held is not None and len(held[0]):
-            yield held
+                yield part
+                continue
+            cut = int(np.flatnonzero((hi != hi[-1]) | (lo != lo[-1]))[-1]) + 1 if (hi[0] != hi[-1] or lo[0] != lo[-1]) else 0
+            held = [[x[cut:] for x in part]]
+            if cut:
+                yield [x[:cut] for x in part]
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     return ranged.mapInArrow(stream, "doc_id long, row long, position int")
 
@@ -146,7 +151,13 @@ def keep_bitmaps(documents: DataFrame, text: str = "text", doc: str = "doc_id",
     """(doc_id, row, keep) for the documents that lose lines: zlib of a bitmap with one bit for each line up
     to the last dropped one, 1 for kept lines; lines beyond it stay."""
     prepare(documents.sparkSession)
-    dropped = dropped_lines(line_hashes(documents, text, doc, min_chars), min_docs)
+    rows = picked(documents, _doc=doc, _text=text)
+    if not isinstance(rows.schema["_doc"].dataType, IntegralType):
+        # ids of other types are numbered in their order
+        ids = settled(with_rank(rows.select("_doc").filter("_doc IS NOT NULL").distinct(), ["_doc"], "_number"))
+        found = keep_bitmaps(rows.join(ids, "_doc").select("_number", "_text"), "_text", "_number", min_chars, min_docs)
+        return found.join(ids, F.col("doc_id") == F.col("_number")).select(F.col("_doc").alias("doc_id"), "row", "keep")
+    dropped = dropped_lines(line_hashes(rows.withColumn("_doc", F.col("_doc").cast("long")), "_text", "_doc", min_chars), min_docs)
 
     def pack(positions):
         lost = np.array(sorted(set(positions)), np.int64)

@@ -95,3 +95,19 @@ def test_passages_meet_the_guarantee():
         spans = fingerprint.passages(x, y, fingerprint.winnow(x), fingerprint.winnow(y))
         assert all(x.encode()[p : p + n] == y.encode()[q : q + n] for p, q, n in spans)
         assert max(n for *_, n in spans) >= len(shared.encode())
+
+
+def test_lines_of_text_ids(spark, monkeypatch):
+    line = "one line that is surely longer than forty characters"
+    rows = [(str(k), f"{line}\nown {k}") for k in (1, 20, 3, 100, 9, 7)] + [("9", f"{line}\nanother text of nine"), (None, f"{line}\nnobody's")]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.text) for r in out} == {(d, t if d in ("9", None) else t.split("\n")[1]) for d, t in rows}
+    digits = line_dedup.dedup(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id short, text string")).collect()
+    assert sum(line in r.text for r in digits) == 1
+
+
+def test_one_line_in_many_batches(spark):
+    line = "the same line that stands in every one of the documents"
+    frame = spark.range(3000).selectExpr("id AS doc_id", f"concat('{line}', char(10), id) AS text").repartition(3)
+    out = line_dedup.dedup(frame).collect()
+    assert sorted(r.doc_id for r in out if line in r.text) == [2999] and len(out) == 3000
