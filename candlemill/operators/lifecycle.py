@@ -87,16 +87,22 @@ def break_states(bars: DataFrame, events: DataFrame, cfg: PatternConfig = Patter
     return out.select(*KEY, state.alias("state"), since.cast("int").alias("since"), F.col("retest").cast("int").alias("retest"))
 
 
+def candle_questions(cfg: PatternConfig) -> list[Column]:
+    """What ends or confirms an event that is no break."""
+    p, i = F.col("pattern_id"), F.col("bar_index")
+    under = F.when(p == "bullish_pin_bar", F.col("least")).when(p == "shooting_star", None).when(F.col("bias") == "Bullish", F.col("least") - tolerance(F.col("least"), cfg))
+    over = F.when(p == "shooting_star", F.col("most")).when(p == "bullish_pin_bar", None).when(F.col("bias") == "Bearish", F.col("most") + tolerance(F.col("most"), cfg))
+    done_over = F.when(p.isin("bullish_pin_bar", "hammer"), F.col("high") + tolerance(F.col("high"), cfg))
+    done_under = F.when(p == "shooting_star", F.col("low") - tolerance(F.col("low"), cfg))
+    return [_ask(w, i, "close", o, x) for w, o, x in (("bad_under", False, under), ("bad_over", True, over), ("good_over", True, done_over), ("good_under", False, done_under))]
+
+
 def candle_states(bars: DataFrame, events: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
     """symbol, ask, state, since, retest of prepared events other than breaks. retest is given where nothing else happened."""
     p, i = F.col("pattern_id"), F.col("bar_index")
     e = events.filter(~p.isin(*BREAKS))
-    under = F.when(p == "bullish_pin_bar", F.col("least")).when(p == "shooting_star", None).when(F.col("bias") == "Bullish", F.col("least") - tolerance(F.col("least"), cfg))
-    over = F.when(p == "shooting_star", F.col("most")).when(p == "bullish_pin_bar", None).when(F.col("bias") == "Bearish", F.col("most") + tolerance(F.col("most"), cfg))
     lower = p.isin("bullish_pin_bar", "hammer")
-    done_over = F.when(lower, F.col("high") + tolerance(F.col("high"), cfg))
-    done_under = F.when(p == "shooting_star", F.col("low") - tolerance(F.col("low"), cfg))
-    one = _answers(bars, e, [_ask(w, i, "close", o, x) for w, o, x in (("bad_under", False, under), ("bad_over", True, over), ("good_over", True, done_over), ("good_under", False, done_under))])
+    one = _answers(bars, e, candle_questions(cfg))
     e = e.join(one, KEY, "left").withColumns({"bad": F.least(_at("bad_under"), _at("bad_over")), "good": F.least(_at("good_over"), _at("good_under"))}).drop("met")
     # rejection candles that nothing ended: closes stay within the candle, whose retest is looked for bar by bar
     zone = F.when(lower, F.col("low") + (F.col("high") - F.col("low")) * RETEST_PART).otherwise(F.col("high") - (F.col("high") - F.col("low")) * RETEST_PART)

@@ -38,6 +38,11 @@ def judged(bars: DataFrame, first: DataFrame, states: DataFrame, interval: str =
     dates = bars.select("symbol", F.col("bar_index").alias("anchor"), day.alias("anchor_day"))
     ends = bars.groupBy("symbol").agg(F.max(day).alias("last_day"))
     e = e.join(dates, ["symbol", "anchor"]).join(ends, "symbol").withColumn("age", F.col("last") - F.col("anchor"))
+    return weighed(e, interval)
+
+
+def weighed(e: DataFrame, interval: str = "1h") -> DataFrame:
+    """Adds reason, pending, contribution and volume to events with state, age, anchor_day and last_day."""
     pending = (F.col("status") == "tentative") & F.col("state").isin(*PENDING)
     late = F.col("age") > F.col("max_age")
     reason = F.when(F.col("anchor_day") != F.col("last_day"), "outside current trading session") if INTERVAL_SECONDS[interval] < 86400 else F.when(F.lit(False), "")

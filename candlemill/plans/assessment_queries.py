@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assessment, detectors, lifecycle, ranking, score, signals, structure, trend
+from ..operators import asof, assessment, detectors, evaluate, lifecycle, ranking, score, signals, structure, trend
 from ..operators.reuse import settled
 from .bar_queries import feats, rounded
 
@@ -98,7 +98,23 @@ def historical_signals(spark, sf):
     return first.select(*assessment.KEYS, "bar_index", "pattern_id", "bias", "status").join(at, ["symbol", "bar_index"]).join(trends, ["symbol", "bar_index"])
 
 
+def _signals_asof(f):
+    """Directional first events with the assessment of their symbol at their own bar."""
+    events = settled(signals.all_events(f))
+    first = settled(signals.primaries(events))
+    own = first.filter(f"bias <> 'Neutral' AND status <> 'candidate' AND bar_index >= {FEWEST_BARS - 1}")
+    at = own.select("symbol", F.col("bar_index").alias("as_of"))
+    then = asof.assessed_at(f, events, first, trend.broad(f).select("symbol", "bar_index", "trend"), _strengths(f), at)
+    then = then.select("symbol", F.col("as_of").alias("bar_index"), "trend", "bullish", "bearish", "volume", "conflict", "market_state", F.col("bias").alias("overall_bias"), "evidence", "rule_confidence", evaluate.confidence_bucket(F.col("rule_confidence")).alias("bucket"))
+    return own.select(*assessment.KEYS, "bar_index", "pattern_id", "bias", "status").join(then, ["symbol", "bar_index"])
+
+
+def signals_asof(spark, sf):
+    """Directional first events with trend, market state, bias and confidence as of their own bar, from the twentieth bar on."""
+    return rounded(_signals_asof(settled(feats(spark, sf))), "bullish", "bearish", "volume", "conflict", "rule_confidence")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (double_events, structural_dedup, linked_breaks, structural_states, canonical_groups, rule_confidence, final_assessment, score_reconciliation, confirmation_fields, candle_summaries, break_evidence, historical_signals)
+    for f in (double_events, structural_dedup, linked_breaks, structural_states, canonical_groups, rule_confidence, final_assessment, score_reconciliation, confirmation_fields, candle_summaries, break_evidence, historical_signals, signals_asof)
 }
