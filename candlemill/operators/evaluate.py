@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EvaluationConfig
 from .features import by_time
+from .reuse import settled
 
 
 def outcomes(features: DataFrame, signals: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
@@ -65,6 +66,64 @@ def summaries(results: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
+def traded(results: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """Adds raw_return, and trade_return: what leaving at the first touch earns, or at the horizon where none decides."""
+    r = F.col("directional_return")
+    raw = F.when(F.col("bias") == "Bullish", r).otherwise(F.lit(0.0) - r)
+    touched = F.when(F.col("touch") == "target_first", cfg.target_return).when(F.col("touch") == "stop_first", -cfg.stop_return).otherwise(r)
+    return results.withColumns({"raw_return": raw, "trade_return": F.when(r.isNotNull(), touched)})
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact medians of any number of values a key: values are ranged and sorted over all tasks, and the middle ones
+    are found by their place, so no task holds a key's values."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = [*keys, value]
+    ordered = settled(rows.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    part, low = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND((1 << 33) - 1)
+    # one row for each partition
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    placed = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_offset") + low)
+    ends = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    wanted = ends.select(*keys, F.explode(F.array_distinct(F.array(F.col("_first") + F.floor((F.col("_n") - 1) / 2), F.col("_first") + F.floor(F.col("_n") / 2)))).alias("_at"))
+    return placed.join(wanted, [*keys, "_at"]).groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
+MEASURES = {"return": "directional_return", "raw": "raw_return", "mfe": "mfe", "mae": "mae"}
+
+
+def grouped_summaries(results: DataFrame, groups: dict[str, Column | None], cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """One row for each kind of group, value and horizon, horizons without outcomes included, in one pass over the outcomes.
+
+    groups: the column that a kind groups by, None for all together; rows whose column is null have no group of the kind.
+    """
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), (F.lit("all") if c is None else c.cast("string")).alias("value")) for k, c in groups.items()])
+    seen = settled(traded(results, cfg).filter("directional_return IS NOT NULL").select("horizon", "touch", "trade_return", *MEASURES.values(), F.inline(F.filter(every, lambda g: g["value"].isNotNull()))))
+    keys, r, t = ["kind", "value", "horizon"], F.col("directional_return"), F.col("trade_return")
+    share = lambda c: F.avg(c.cast("int"))
+    touch = lambda x: share(F.col("touch") == x)
+    sums = seen.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("signals"),
+        *[F.sum(c.cast("int")).alias(n) for n, c in (("wins", r > 0), ("losses", r < 0), ("flat", r == 0))],
+        share(r > 0).alias("precision"),
+        share(r < 0).alias("false_positive_rate"),
+        share(t > 0).alias("win_rate"),
+        *[F.avg(c).alias(f"mean_{m}") for m, c in MEASURES.items()],
+        F.avg(t).alias("expectancy"),
+        *[touch(x).alias(n) for n, x in (("target_first_rate", "target_first"), ("stop_first_rate", "stop_first"), ("neither_rate", "neither_hit"), ("same_bar_rate", "both_same_bar"))],
+    )
+    melted = seen.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).alias("x")) for m, c in MEASURES.items()])))
+    middle = medians(melted, [*keys, "measure"], "x").groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"median_{m}") for m in MEASURES])
+    domain = seen.select("kind", "value").distinct()
+    if any(c is None for c in groups.values()):
+        whole = [(k, "all") for k, c in groups.items() if c is None]
+        domain = domain.unionByName(results.sparkSession.createDataFrame(whole, "kind string, value string")).distinct()
+    domain = domain.withColumn("horizon", F.explode(F.array(*map(F.lit, cfg.horizons))))
+    out = domain.join(sums, keys, "left").join(middle, keys, "left")
+    return out.fillna(0, ["signals", "wins", "losses", "flat"])
+
+
 def confidence_bucket(score):
     """Bucket of a confidence from 0 to 100."""
     return F.when(score < 25, "0-24").when(score < 50, "25-49").when(score < 75, "50-74").otherwise("75-100")

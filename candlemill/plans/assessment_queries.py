@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, assessment, detectors, evaluate, lifecycle, ranking, score, signals, structure, trend
 from ..operators.reuse import settled
-from .bar_queries import feats, rounded
+from .bar_queries import RATES, feats, rounded
 
 FEWEST_BARS = 20
 
@@ -114,7 +114,16 @@ def signals_asof(spark, sf):
     return rounded(_signals_asof(settled(feats(spark, sf))), "bullish", "bearish", "volume", "conflict", "rule_confidence")
 
 
+def backtest_by_bucket(spark, sf):
+    """Outcomes of the signals that counted at their own bar, by the confidence their symbol had there, and by what it said."""
+    f = settled(feats(spark, sf))
+    then = _signals_asof(f).filter("status = 'confirmed'")
+    rows = evaluate.outcomes(f, then.select(*assessment.KEYS, "bar_index", "pattern_id", "bias"))
+    rows = rows.join(then.select("symbol", "bar_index", "pattern_id", "bucket", F.concat_ws(" | ", "trend", "market_state", "overall_bias").alias("context")), ["symbol", "bar_index", "pattern_id"])
+    return rounded(evaluate.grouped_summaries(rows, {"bucket": F.col("bucket"), "context": F.col("context")}), *RATES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (double_events, structural_dedup, linked_breaks, structural_states, canonical_groups, rule_confidence, final_assessment, score_reconciliation, confirmation_fields, candle_summaries, break_evidence, historical_signals, signals_asof)
+    for f in (double_events, structural_dedup, linked_breaks, structural_states, canonical_groups, rule_confidence, final_assessment, score_reconciliation, confirmation_fields, candle_summaries, break_evidence, historical_signals, signals_asof, backtest_by_bucket)
 }

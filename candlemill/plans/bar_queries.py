@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detectors, evaluate, features, signals, trend, validate
+from ..operators.reuse import settled
 from ..sources.bars import bars_from_events, events
 
 AS_OF = "2024-01-20 12:30:00"
@@ -114,7 +115,7 @@ def double_bottom_setups(spark, sf):
 
 def _outcomes(spark, sf):
     """Outcomes of the confirmed events of all detectors that have a direction."""
-    f = feats(spark, sf)
+    f = settled(feats(spark, sf))
     return evaluate.outcomes(f, signals.all_events(f).filter("status = 'confirmed'"))
 
 
@@ -148,6 +149,18 @@ def backtest_summary_by_context(spark, sf):
     return rounded(evaluate.summaries(_outcomes(spark, sf).join(contexts, ["symbol", "bar_start"]), "market_context"), *MEANS)
 
 
+RATES = ("precision", "false_positive_rate", "win_rate", *[f"{a}_{m}" for a in ("mean", "median") for m in evaluate.MEASURES], "expectancy", "target_first_rate", "stop_first_rate", "neither_rate", "same_bar_rate")
+
+
+def backtest_all_groups(spark, sf):
+    """Outcomes of all signals, by pattern, by session and hour, and by trend, in one pass."""
+    f = settled(feats(spark, sf))
+    rows = evaluate.outcomes(f, signals.all_events(f).filter("status = 'confirmed'"))
+    rows = rows.join(trend.broad(f).select("symbol", "bar_index", "trend"), ["symbol", "bar_index"])
+    session = F.concat_ws(" | ", validate.segment(F.col("bar_start")), F.date_format("bar_start", "HH:mm"))
+    return rounded(evaluate.grouped_summaries(rows, {"overall": None, "pattern": F.col("pattern_id"), "session": session, "trend": F.col("trend")}), *RATES)
+
+
 def confidence_bucket(spark, sf):
     e = events(spark, sf).select((F.col("event_id") % 101).alias("confidence"))
     return e.groupBy(evaluate.confidence_bucket(F.col("confidence")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -155,7 +168,7 @@ def confidence_bucket(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (bars_hourly, completed_bars_asof, validation_counters, dedup_keep_last, invalid_ohlc, irregular_gaps, session_filter, swing_points, pivots, regression_slope, break_structure_events, candle_direction, raw_breaks, pattern_counts, double_top_setups, double_bottom_setups, forward_outcomes, target_stop_first_touch, backtest_summary, backtest_summary_by_pattern, backtest_summary_by_session, backtest_summary_by_context, confidence_bucket)
+    for f in (bars_hourly, completed_bars_asof, validation_counters, dedup_keep_last, invalid_ohlc, irregular_gaps, session_filter, swing_points, pivots, regression_slope, break_structure_events, candle_direction, raw_breaks, pattern_counts, double_top_setups, double_bottom_setups, forward_outcomes, target_stop_first_touch, backtest_summary, backtest_summary_by_pattern, backtest_summary_by_session, backtest_summary_by_context, backtest_all_groups, confidence_bucket)
 }
 QUERIES |= {
     "session_segments": pick("session_date", "session_segment", "session_key"),

@@ -20,7 +20,19 @@ def names(those: tuple[str, ...]) -> str:
 
 
 RANKED = f"""{JUDGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {ranks("status", STATUS_RANK)}, {ranks("state", STATE_RANK)}, abs(contribution) DESC, last - bar_index, priority, name, bar_index, kind, bias) AS rank FROM judged)"""
+MEASURES = {"return": "directional_return", "raw": "raw_return", "mfe": "mfe", "mae": "mae"}
+ALL_GROUPS = f"""{RATED}, contexts AS ({BROAD}), told AS (SELECT *, CASE WHEN bias = 'Bullish' THEN directional_return ELSE 0.0 - directional_return END AS raw_return,
+    CASE touch WHEN 'target_first' THEN 0.01 WHEN 'stop_first' THEN -0.005 ELSE directional_return END AS trade_return FROM results JOIN contexts USING (symbol, bar_start) WHERE directional_return IS NOT NULL),
+  seen AS (SELECT 'overall' AS kind, 'all' AS value, * FROM told UNION ALL SELECT 'pattern', pattern_id, * FROM told UNION ALL SELECT 'trend', trend, * FROM told
+    UNION ALL SELECT 'session', CASE WHEN strftime(bar_start, '%H:%M:%S') < '09:30:00' THEN 'premarket' WHEN strftime(bar_start, '%H:%M:%S') < '16:00:00' THEN 'regular' ELSE 'afterhours' END || ' | ' || strftime(bar_start, '%H:%M'), * FROM told),
+  domain AS (SELECT kind, value, unnest([1, 3, 6]) AS horizon FROM (SELECT DISTINCT kind, value FROM seen UNION SELECT 'overall', 'all'))
+SELECT d.kind, d.value, d.horizon, count(s.kind) AS signals, count(*) FILTER (WHERE directional_return > 0) AS wins, count(*) FILTER (WHERE directional_return < 0) AS losses, count(*) FILTER (WHERE directional_return = 0) AS flat,
+  round(avg((directional_return > 0)::INT), 9) AS precision, round(avg((directional_return < 0)::INT), 9) AS false_positive_rate, round(avg((trade_return > 0)::INT), 9) AS win_rate,
+  {", ".join(f"round(avg({c}), 9) AS mean_{m}, round(median({c}), 9) AS median_{m}" for m, c in MEASURES.items())}, round(avg(trade_return), 9) AS expectancy,
+  {", ".join(f"round(avg((touch = '{x}')::INT), 9) AS {n}" for n, x in (("target_first_rate", "target_first"), ("stop_first_rate", "stop_first"), ("neither_rate", "neither_hit"), ("same_bar_rate", "both_same_bar")))}
+FROM domain d LEFT JOIN seen s ON s.kind = d.kind AND s.value = d.value AND s.horizon = d.horizon GROUP BY ALL"""
 SQL = {
+    "backtest_all_groups": ALL_GROUPS,
     "forward_outcomes": f"{RATED} SELECT symbol, bar_start, bar_index, pattern_id, bias, horizon, round(directional_return, 9) AS directional_return, round(mfe, 9) AS mfe, round(mae, 9) AS mae FROM results",
     "target_stop_first_touch": f"{RATED} SELECT symbol, bar_start, pattern_id, horizon, touch FROM results",
     "backtest_summary": f"{RATED} SELECT horizon, {SUMMARY} FROM results WHERE directional_return IS NOT NULL GROUP BY ALL",
