@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import INTERVAL_SECONDS, PatternConfig
-from .operators import detectors, features, lifecycle, ranking, score, signals, trend
+from .operators import assessment, detectors, features, ranking, related, score, signals, trend
 from .operators.reuse import settled
 from .sources.bars import read_bars
 
@@ -115,13 +115,15 @@ def built_in() -> Registry:
 
 
 def analyse(bars: DataFrame, interval: str = "1h", top: int = ranking.TOP) -> tuple[DataFrame, DataFrame]:
-    """(assessment, top events) of every symbol at its last bar."""
+    """(assessment, top events) of every symbol at its last bar. A bias of too little confidence is Neutral."""
     if interval not in INTERVAL_SECONDS:
         raise ValueError(f"unknown interval {interval}")
     rows = settled(features.add_features(bars))
-    first = settled(signals.primaries(signals.all_events(rows)))
-    judged = score.judged(rows, first, settled(lifecycle.states(rows, first)), interval)
-    return score.assess(judged, trend.broad(rows)), ranking.top(judged, top)
+    found = related.gathered(rows)
+    judged = settled(score.judged(rows, found.first, settled(related.states(rows, found)), interval))
+    strengths = rows.select("symbol", "bar_index", ranking.strength().alias("strength"))
+    sure = assessment.confidence(judged, found.events, settled(score.assess(judged, trend.broad(rows))), strengths)
+    return assessment.gated(sure), ranking.top(judged, top)
 
 
 def report(assessment: Iterable, events: Iterable) -> str:

@@ -6,6 +6,8 @@ prices that part them don't depend on when one looks; a span ends where a crossi
 greatest age is reached. So an event meets at most three times its greatest age of bars. What counts at a bar is weighed
 by the rules of score.py for each (symbol, bar), as if the history ended there.
 
+A confirmed double has one span, from its confirmation to a close beyond its rim; undecided ones cannot count.
+
 Events in states that cannot count (failed, reclaimed, invalidated, expired) have no span, as they add nothing.
 """
 
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import INTERVAL_SECONDS, PatternConfig
-from . import assessment, lifecycle, score
+from . import assessment, lifecycle, score, structure
+from .related import Gathered
 from .crossings import first_beyond
 from .detectors import tolerance
 from .reuse import settled
@@ -76,27 +79,33 @@ def state_spans(bars: DataFrame, first: DataFrame, cfg: PatternConfig = PatternC
     return break_spans(bars, e, cfg).unionByName(candle_spans(bars, e, cfg))
 
 
-def judged_at(bars: DataFrame, first: DataFrame, at: DataFrame, interval: str = "1h", cfg: PatternConfig = PatternConfig()) -> DataFrame:
+def double_spans(bars: DataFrame, doubles: DataFrame, cfg: PatternConfig = PatternConfig()) -> DataFrame:
+    """Spans of first confirmed doubles."""
+    c = structure.broken_rims(doubles, bars, cfg).join(bars.groupBy("symbol").agg(F.max("bar_index").alias("last")), "symbol")
+    return _spans(c, _span("active", F.col("bar_index"), _before(F.col("bad")), F.col("bar_index")))
+
+
+def judged_at(bars: DataFrame, found: Gathered, at: DataFrame, interval: str = "1h", cfg: PatternConfig = PatternConfig()) -> DataFrame:
     """The rows of score.judged that count, or whose cluster counts, at each of some bars. at: symbol, as_of. The
     symbol of a result is the pair of both."""
     step = F.make_dt_interval(secs=F.lit(INTERVAL_SECONDS[interval]))
     days = bars.select("symbol", "bar_index", F.to_date(F.col("bar_start") + step).alias("day"))
-    spans = state_spans(bars, first, cfg)
+    spans = state_spans(bars, found.plain, cfg).unionByName(double_spans(bars, found.doubles, cfg))
     held = spans.join(days.select("symbol", F.col("bar_index").alias("anchor"), F.col("day").alias("anchor_day")), ["symbol", "anchor"])
     met = held.withColumn("as_of", F.explode(F.sequence("valid_from", "valid_to"))).drop("valid_from", "valid_to")
     met = met.join(at.join(days.select("symbol", F.col("bar_index").alias("as_of"), F.col("day").alias("last_day")), ["symbol", "as_of"]), ["symbol", "as_of"])
-    e = first.join(met, EVENT).withColumns({"last": F.col("as_of"), "age": F.col("as_of") - F.col("anchor"), "since": F.col("anchor")})
+    e = found.first.join(met, EVENT).withColumns({"last": F.col("as_of"), "age": F.col("as_of") - F.col("anchor"), "since": F.col("anchor")})
     return score.weighed(e.withColumn("symbol", F.struct("symbol", "as_of")).drop("as_of"), interval)
 
 
-def assessed_at(features: DataFrame, events: DataFrame, first: DataFrame, broad: DataFrame, strengths: DataFrame, at: DataFrame, interval: str = "1h", cfg: PatternConfig = PatternConfig()) -> DataFrame:
+def assessed_at(features: DataFrame, found: Gathered, broad: DataFrame, strengths: DataFrame, at: DataFrame, interval: str = "1h", cfg: PatternConfig = PatternConfig()) -> DataFrame:
     """symbol, as_of, and what assessment.confidence says of the symbol had its bars ended there, with the gated bias."""
     at = settled(at.select("symbol", F.col("as_of").cast("int").alias("as_of")).distinct())
-    judged = settled(judged_at(features, first, at, interval, cfg))
+    judged = settled(judged_at(features, found, at, interval, cfg))
     pair = F.struct("symbol", "as_of").alias("symbol")
     trends = at.join(broad.select("symbol", F.col("bar_index").alias("as_of"), "trend"), ["symbol", "as_of"]).select(pair, F.col("as_of").alias("bar_index"), "trend")
     met = judged.select(F.col("symbol").alias("_pair"), F.col("symbol.symbol").alias("symbol"), "bar_start", "kind", "bar_index")
-    mates = events.join(met.drop("bar_index"), EVENT).withColumn("symbol", F.col("_pair")).drop("_pair")
+    mates = found.events.join(met.drop("bar_index"), EVENT).withColumn("symbol", F.col("_pair")).drop("_pair")
     near = strengths.join(met.select("_pair", "symbol", "bar_index").distinct(), ["symbol", "bar_index"]).withColumn("symbol", F.col("_pair")).drop("_pair")
     rows = assessment.gated(assessment.confidence(judged, mates, settled(score.assess(judged, trends)), near))
     return rows.select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.as_of").alias("as_of"), *[c for c in rows.columns if c != "symbol"])

@@ -1,6 +1,6 @@
 """How far the counted events of a symbol can be trusted, and what that makes of its bias.
 
-Group mates of a counted event are taken to be as eligible as it is; links of doubles to breaks suppress nothing here.
+Group mates of a counted event are taken to be as eligible as it is. The confidence has one digit, as the gate sees it.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import family
+from .related import DOUBLES, LINKED
 from .score import CLUSTERED, DECAY, LEFT_OUT
 
 #: Least confidence of a bias, of the levels HIGH and MEDIUM, and of a symbol without counted events (with and without a trend).
@@ -21,10 +22,12 @@ def confidence(judged: DataFrame, events: DataFrame, assessed: DataFrame, streng
     the assessed symbols. strengths: (symbol, bar_index, strength); warnings: those of the data's validation."""
     named = (F.col("bias") != "Neutral") & (F.col("status") != "candidate")
     mates = events.filter(named).groupBy(*KEYS).agg((F.count(F.lit(1)) - 1).alias("mates"))
-    lost = F.col("reason") == CLUSTERED
+    lost = F.col("reason").isin(CLUSTERED, LINKED)
     eligible = judged.filter(F.col("reason").isNull() | lost).join(mates, KEYS)
     suppressed = eligible.groupBy("symbol").agg(F.sum(F.col("mates") + F.coalesce(lost, F.lit(False)).cast("int")).alias("suppressed"))
     counted = judged.filter("reason IS NULL AND status = 'confirmed'").join(strengths, ["symbol", "bar_index"], "left").withColumn("family", family())
+    if "own_strength" in counted.columns:
+        counted = counted.withColumn("strength", F.coalesce("own_strength", "strength"))
     by = counted.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("evidence"),
         F.countDistinct("bar_start", "kind").alias("groups"),
@@ -41,7 +44,8 @@ def confidence(judged: DataFrame, events: DataFrame, assessed: DataFrame, streng
     lowered = F.col("conflict") * 20.0 + min(5.0 * warnings, 25.0) + F.col("suppressed") * 4.0 + F.greatest(zero, k - families) * 3.0 + F.greatest(zero, groups - families) * 4.0 + (1.0 - F.col("recency")) * 10.0 + F.when(F.col("market_state") == "Trend Only", 12.0).otherwise(0.0)
     worth = F.greatest(F.lit(5.0), F.least(F.lit(100.0), raised - lowered))
     alone = F.when(F.col("trend") != "Neutral", TREND_ALONE).otherwise(NOTHING)
-    return t.withColumn("rule_confidence", F.when(k > 0, worth).otherwise(alone)).drop("groups", "recency", "strength")
+    # sums differ in their last bits with the order of their rows, which must not decide a half
+    return t.withColumn("rule_confidence", F.when(k > 0, F.round(F.round(worth, 9), 1)).otherwise(alone)).drop("groups", "recency", "strength")
 
 
 def gated(rows: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def violations(judged: DataFrame, assessed: DataFrame) -> DataFrame:
     something, and whether both sums are those of the counted events (to a hundredth)."""
     counted, worth = F.col("reason").isNull(), F.abs("contribution") + F.abs("volume") > 0
     number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
-    spent = (*[s for s in LEFT_OUT if s != "reclaimed"], "failed", "awaiting_confirmation")
+    spent = [s for s in LEFT_OUT if s != "reclaimed"]
     by = judged.groupBy("symbol").agg(number(counted & F.col("state").isin(*spent)).alias("counted_wrongly"), number(~counted & worth).alias("left_out_wrongly"), F.sum(F.when(counted, F.col("contribution"))).alias("_sum"), F.sum(F.when(counted, F.col("volume"))).alias("_volume"))
     same = lambda a, b: F.abs(a - F.coalesce(b, F.lit(0.0))) < 0.01
     t = assessed.join(by, "symbol", "left").fillna(0, ["counted_wrongly", "left_out_wrongly"])
@@ -83,9 +87,11 @@ def violations(judged: DataFrame, assessed: DataFrame) -> DataFrame:
 def confirmation(rows: DataFrame) -> DataFrame:
     """Adds context_status, directional_confirmation and follow_through: four questions that one status cannot answer; the shape of an event is always valid."""
     staged, broke = F.col("pattern_id").isin("bullish_pin_bar", "hammer", "shooting_star"), F.col("pattern_id").isin("breakout", "breakdown")
-    state, pending = F.col("state"), F.col("status") == "tentative"
+    state, status, pending = F.col("state"), F.col("status"), F.col("status") == "tentative"
+    double = F.col("pattern_id").isin(*DOUBLES)
+    decided = lambda done: F.when(double & (status == "confirmed"), done).when(double & (status == "failed"), "Failed").when(double & (state == "awaiting_confirmation"), "Pending")
     context = F.when(staged & (F.col("status") == "candidate"), "Rejected").when(staged, "Validated").otherwise("Not Applicable")
-    turned: Column = F.when(~staged, "Not Required").when(state == "directionally_confirmed", "Confirmed").when(state == "invalidated", "Failed").when(pending, "Pending").otherwise("Not Required")
-    after = F.when(staged, F.when(state == "directionally_confirmed", "Present").when(state == "invalidated", "Failed").when(pending, "Pending"))
+    turned: Column = decided("Confirmed").when(~staged, "Not Required").when(state == "directionally_confirmed", "Confirmed").when(state == "invalidated", "Failed").when(pending, "Pending").otherwise("Not Required")
+    after = decided("Present").when(staged, F.when(state == "directionally_confirmed", "Present").when(state == "invalidated", "Failed").when(pending, "Pending"))
     after = after.when(broke, F.when(state == "retest_rejected", "Present").when(state.isin("reclaimed", "failed_breakout", "failed_breakdown"), "Failed").when(state.isin("new", "active", "retest_pending"), "Pending"))
     return rows.withColumns({"context_status": context, "directional_confirmation": turned, "follow_through": F.coalesce(after, F.lit("Not Applicable"))})

@@ -67,7 +67,7 @@ def raw_breaks(df: DataFrame) -> DataFrame:
 
 
 def double_setups(df: DataFrame, top: bool = True, cfg: PatternConfig = PatternConfig()) -> DataFrame:
-    """Double tops (or bottoms): for each first pivot the first second one that qualifies, with the neckline.
+    """Double tops (or bottoms): for each first pivot the first second one that qualifies, with the neckline and its bar (valley).
 
     Pairs are at most double_max_gap bars apart, so pivots join on blocks of that many bars and the next block.
     """
@@ -85,8 +85,8 @@ def double_setups(df: DataFrame, top: bool = True, cfg: PatternConfig = PatternC
     necks = between.select("symbol", "k", "q", F.floor(F.col("k") / size).alias("block"))
     wide = pairs.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("i1") / size), F.floor(F.col("i2") / size)))))
     inside = wide.join(necks, ["symbol", "block"]).filter("k > i1 AND k < i2")
-    pick = F.min_by("q", F.struct("q", "k")) if top else F.max_by("q", F.struct("q", -F.col("k")))
-    neck = inside.groupBy("symbol", "i1", "i2", "p1", "p2", "second_start").agg(pick.alias("neckline"))
+    pick = lambda c: F.min_by(c, F.struct("q", "k")) if top else F.max_by(c, F.struct("q", -F.col("k")))
+    neck = inside.groupBy("symbol", "i1", "i2", "p1", "p2", "second_start").agg(pick("q").alias("neckline"), pick("k").alias("valley"))
     edge = F.least("p1", "p2") if top else F.greatest("p1", "p2")
     depth = (edge - F.col("neckline")) / edge if top else (F.col("neckline") - edge) / F.col("neckline")
     order = Window.partitionBy("symbol", "i1").orderBy("i2")

@@ -1,6 +1,6 @@
 """Which events count at a symbol's last bar, what each is worth, and what they say together.
 
-Doubles linked to breaks do not lower an event's worth here, and the confidence is not part of the bias.
+Rows with a star (related.py) are held against those linked to them. The confidence is not part of the bias.
 """
 
 from __future__ import annotations
@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import INTERVAL_SECONDS
+from .related import without_linked
 from .signals import bounded_worth, chained
 from .signals import DECAY, STRONG, TENTATIVE, TREND_POINTS, VOLUME_BONUS
 
 #: Why events of a state do not count; states in which an unconfirmed rejection counts a little;
 #: states of live events; ranks of states and of statuses.
-LEFT_OUT = {"expired": "expired", "invalidated": "invalidated", "failed_breakout": "failed breakout", "failed_breakdown": "failed breakdown", "reclaimed": "level reclaimed"}
+LEFT_OUT = {"expired": "expired", "invalidated": "invalidated", "failed_breakout": "failed breakout", "failed_breakdown": "failed breakdown", "reclaimed": "level reclaimed", "failed": "failed pattern", "awaiting_confirmation": "awaiting neckline confirmation"}
+#: States whose age counts from the bar since which they hold.
+MOVED = ("retest_rejected", "retest_pending", "invalidated", "failed_breakout", "failed_breakdown", "failed", "reclaimed")
 PENDING = ("new", "active", "retested")
 LIVE = ("new", "active", "retested", "retest_pending", "retest_rejected", "directionally_confirmed")
 CLUSTERED = "clustered correlated evidence"
@@ -31,8 +34,8 @@ def judged(bars: DataFrame, first: DataFrame, states: DataFrame, interval: str =
     contribution and volume. Volume of one bar and bias counts once, for the event worth most."""
     keys = ["symbol", "bar_start", "kind"]
     e = first.join(states.select(*keys, "state", "since", "last"), keys)
-    moved = F.col("state").isin("retest_rejected", "retest_pending", *[s for s in LEFT_OUT if s != "expired"])
-    e = e.withColumn("anchor", F.when(moved, F.col("since")).when(F.col("state") == "expired", F.col("last")).otherwise(F.col("bar_index")))
+    own = F.coalesce("anchored", "bar_index") if "anchored" in e.columns else F.col("bar_index")
+    e = e.withColumn("anchor", F.when(F.col("state").isin(*MOVED), F.col("since")).when(F.col("state") == "expired", F.col("last")).otherwise(own))
     step = F.make_dt_interval(secs=F.lit(INTERVAL_SECONDS[interval]))
     day = F.to_date(F.col("bar_start") + step)
     dates = bars.select("symbol", F.col("bar_index").alias("anchor"), day.alias("anchor_day"))
@@ -53,6 +56,8 @@ def weighed(e: DataFrame, interval: str = "1h") -> DataFrame:
     fresh = F.pow(F.lit(DECAY), F.col("age").cast("double"))
     whole = F.col("base") * fresh * F.when(F.col("strong"), STRONG).otherwise(1.0) * F.when(F.col("status") == "tentative", TENTATIVE).otherwise(1.0)
     e = e.withColumns({"reason": reason, "pending": pending}).withColumns({"contribution": F.when(F.col("reason").isNull(), signed(F.when(F.col("pending"), F.lit(PENDING_POINTS) * fresh).otherwise(whole))).otherwise(0.0), "_volume": F.when(F.col("reason").isNull() & F.col("loud") & ~F.col("pending"), signed(F.lit(VOLUME_BONUS) * fresh)).otherwise(0.0)})
+    if "star" in e.columns:
+        e = without_linked(e)
     once = Window.partitionBy("symbol", "bar_index", "bias").orderBy((F.col("_volume") == 0), F.abs("contribution").desc(), "priority", "pattern_id")
     return bounded(e.withColumn("volume", F.when(F.row_number().over(once) == 1, F.col("_volume")).otherwise(0.0)).drop("_volume", "anchor_day", "last_day"))
 

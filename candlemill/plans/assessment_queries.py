@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, assessment, detectors, evaluate, lifecycle, ranking, score, signals, structure, trend
+from ..operators import asof, assessment, detectors, evaluate, features, ranking, related, score, signals, structure, trend
 from ..operators.reuse import settled
-from .bar_queries import RATES, feats, rounded
+from ..sources.bars import bars_from_events, events
+from .bar_queries import INTERVAL, RATES, feats, rounded
+from .signal_queries import _judged
 
 FEWEST_BARS = 20
 
 
 def double_events(spark, sf):
-    return structure.events(settled(feats(spark, sf))).drop("tol")
+    return structure.events(settled(feats(spark, sf))).drop("tol", "rim")
 
 
 def structural_dedup(spark, sf):
-    return structure.deduplicated(structure.events(settled(feats(spark, sf)))).drop("tol")
+    return structure.deduplicated(structure.events(settled(feats(spark, sf)))).drop("tol", "rim")
 
 
 def linked_breaks(spark, sf):
@@ -26,7 +29,36 @@ def linked_breaks(spark, sf):
 
 def structural_states(spark, sf):
     f = settled(feats(spark, sf))
-    return structure.states(structure.deduplicated(structure.events(f)), f)
+    return structure.states(settled(structure.deduplicated(structure.events(f))), f)
+
+
+def _walked(spark, sf):
+    """Features of prices that walk: each event moves its symbol's price by a step of its value, in whole two-hundredths
+    of a point. Events of one price range rarely form doubles, and none that meets a break; a walk has them all."""
+    path = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.floor(F.col("value") * 100).cast("long") % 201 - 100
+    moved = events(spark, sf).withColumn("value", F.lit(100.0) + F.sum(step).over(path).cast("double") / F.lit(200.0))
+    return settled(features.add_features(bars_from_events(moved, INTERVAL)))
+
+
+def walked_dedup(spark, sf):
+    return structure.deduplicated(structure.events(_walked(spark, sf))).drop("tol", "rim")
+
+
+def walked_links(spark, sf):
+    f = _walked(spark, sf)
+    return structure.links(settled(structure.deduplicated(structure.events(f))), settled(detectors.breaks(f)))
+
+
+def walked_states(spark, sf):
+    f = _walked(spark, sf)
+    return structure.states(settled(structure.deduplicated(structure.events(f))), f)
+
+
+def walked_eligibility(spark, sf):
+    """What counts of a walk's events, doubles among them, and what the reasons are of those that do not."""
+    rows = _judged(_walked(spark, sf)).select("symbol", "bar_start", "kind", "pattern_id", "state", "anchor", "age", "reason", "contribution", "volume")
+    return rounded(rows, "contribution", "volume")
 
 
 def canonical_groups(spark, sf):
@@ -42,11 +74,10 @@ def _strengths(f):
 
 def _assessed(f):
     """(judged events, assessed symbols with confidence) of settled features."""
-    events = settled(signals.all_events(f))
-    first = settled(signals.primaries(events))
-    judged = settled(score.judged(f, first, settled(lifecycle.states(f, first))))
+    found = related.gathered(f)
+    judged = settled(score.judged(f, found.first, settled(related.states(f, found))))
     assessed = settled(score.assess(judged, trend.broad(f)))
-    return judged, assessment.confidence(judged, events, assessed, _strengths(f))
+    return judged, assessment.confidence(judged, found.events, assessed, _strengths(f))
 
 
 def rule_confidence(spark, sf):
@@ -66,8 +97,8 @@ def score_reconciliation(spark, sf):
 
 def confirmation_fields(spark, sf):
     f = settled(feats(spark, sf))
-    first = settled(signals.primaries(signals.all_events(f)))
-    rows = first.join(lifecycle.states(f, first).select(*assessment.KEYS, "state"), assessment.KEYS)
+    found = related.gathered(f)
+    rows = found.first.join(related.states(f, found).select(*assessment.KEYS, "state"), assessment.KEYS)
     return assessment.confirmation(rows).groupBy("pattern_id", "state", "context_status", "directional_confirmation", "follow_through").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,11 +131,10 @@ def historical_signals(spark, sf):
 
 def _signals_asof(f):
     """Directional first events with the assessment of their symbol at their own bar."""
-    events = settled(signals.all_events(f))
-    first = settled(signals.primaries(events))
-    own = first.filter(f"bias <> 'Neutral' AND status <> 'candidate' AND bar_index >= {FEWEST_BARS - 1}")
+    found = related.gathered(f)
+    own = found.plain.filter(f"bias <> 'Neutral' AND status <> 'candidate' AND bar_index >= {FEWEST_BARS - 1}")
     at = own.select("symbol", F.col("bar_index").alias("as_of"))
-    then = asof.assessed_at(f, events, first, trend.broad(f).select("symbol", "bar_index", "trend"), _strengths(f), at)
+    then = asof.assessed_at(f, found, trend.broad(f).select("symbol", "bar_index", "trend"), _strengths(f), at)
     then = then.select("symbol", F.col("as_of").alias("bar_index"), "trend", "bullish", "bearish", "volume", "conflict", "market_state", F.col("bias").alias("overall_bias"), "evidence", "rule_confidence", evaluate.confidence_bucket(F.col("rule_confidence")).alias("bucket"))
     return own.select(*assessment.KEYS, "bar_index", "pattern_id", "bias", "status").join(then, ["symbol", "bar_index"])
 
@@ -125,5 +155,5 @@ def backtest_by_bucket(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (double_events, structural_dedup, linked_breaks, structural_states, canonical_groups, rule_confidence, final_assessment, score_reconciliation, confirmation_fields, candle_summaries, break_evidence, historical_signals, signals_asof, backtest_by_bucket)
+    for f in (walked_dedup, walked_links, walked_states, walked_eligibility, double_events, structural_dedup, linked_breaks, structural_states, canonical_groups, rule_confidence, final_assessment, score_reconciliation, confirmation_fields, candle_summaries, break_evidence, historical_signals, signals_asof, backtest_by_bucket)
 }

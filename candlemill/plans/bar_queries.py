@@ -106,11 +106,11 @@ def pattern_counts(spark, sf):
 
 
 def double_top_setups(spark, sf):
-    return rounded(detectors.double_setups(feats(spark, sf), True), "depth").drop("second_start")
+    return rounded(detectors.double_setups(feats(spark, sf), True), "depth").drop("second_start", "valley")
 
 
 def double_bottom_setups(spark, sf):
-    return rounded(detectors.double_setups(feats(spark, sf), False), "depth").drop("second_start")
+    return rounded(detectors.double_setups(feats(spark, sf), False), "depth").drop("second_start", "valley")
 
 
 def _outcomes(spark, sf):

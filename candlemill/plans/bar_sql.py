@@ -111,16 +111,16 @@ def select(columns: str, source: str = "f", digits: str = "", where: str = "true
     return f"WITH {FEATURES} SELECT symbol, bar_start, {plain} FROM {source} WHERE {where}"
 
 
-def doubles(top: bool) -> str:
+def doubles(top: bool, more: str = "") -> str:
     p, q, agg, edge = ("high", "low", "arg_min(k.low, struct_pack(a := k.low, b := k.bar_index))", "least(p1, p2)") if top else ("low", "high", "arg_max(k.high, struct_pack(a := k.high, b := -k.bar_index))", "greatest(p1, p2)")
     depth = f"({edge} - neckline) / {edge}" if top else f"(neckline - {edge}) / neckline"
     return f"""WITH {FEATURES}, necks AS (
-      SELECT a.symbol, a.bar_index AS i1, b.bar_index AS i2, a.{p} AS p1, b.{p} AS p2, {agg} AS neckline
+      SELECT a.symbol, a.bar_index AS i1, b.bar_index AS i2, a.{p} AS p1, b.{p} AS p2, {agg} AS neckline, {agg.replace("k.low,", "k.bar_index,", 1) if top else agg.replace("k.high,", "k.bar_index,", 1)} AS valley
       FROM swings a JOIN swings b ON a.symbol = b.symbol AND b.bar_index - a.bar_index BETWEEN 4 AND 24 AND abs(a.{p} - b.{p}) / greatest(a.{p}, b.{p}) <= 0.006
       JOIN swings k ON k.symbol = a.symbol AND k.bar_index > a.bar_index AND k.bar_index < b.bar_index
       WHERE a.pivot_{p} AND b.pivot_{p} AND k.pivot_{q} GROUP BY ALL),
     good AS (SELECT *, {depth} AS depth FROM necks WHERE {depth} >= 0.008)
-    SELECT symbol, i1, i2, p1, p2, neckline, round(depth, 9) AS depth FROM good QUALIFY row_number() OVER (PARTITION BY symbol, i1 ORDER BY i2) = 1"""
+    SELECT symbol, i1, i2, p1, p2, neckline, round(depth, 9) AS depth{more} FROM good QUALIFY row_number() OVER (PARTITION BY symbol, i1 ORDER BY i2) = 1"""
 
 
 def patterns(*ids: str) -> str:

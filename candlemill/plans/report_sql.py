@@ -44,7 +44,7 @@ SQL = {
     "signal_strength": f"WITH {FEATURES} SELECT symbol, bar_start, floor(greatest(range_strength, volume_strength) * 100 + 0.5) / 100 AS strength FROM f",
     "evidence_categories": f"""{JUDGED}, sorted AS (SELECT *, CASE WHEN state IN ({names(PAST)}) OR NOT CASE WHEN reason IS NULL THEN age <= max_age ELSE last - since <= {RECENT_BARS} END THEN 'historical_lifecycle'
         WHEN reason IS NULL AND abs(contribution + volume) > 0 THEN 'current_contributing' WHEN state = 'awaiting_confirmation' THEN 'awaiting_confirmation' WHEN bias = 'Neutral' OR status = 'candidate' THEN 'current_neutral'
-        WHEN state IN ({names(RECENT)}) THEN 'recent_non_contributing' ELSE 'historical_lifecycle' END AS category FROM judged JOIN (SELECT symbol, bar_start, kind, since FROM states) USING (symbol, bar_start, kind))
+        WHEN state IN ({names(RECENT)}) THEN 'recent_non_contributing' ELSE 'historical_lifecycle' END AS category FROM judged)
       SELECT symbol, category, state, count(*) AS n FROM sorted GROUP BY ALL""",
     "zoned_sessions": f"""WITH {BARS}, z AS (SELECT symbol, bar_start, zone, timezone(zone, timezone('UTC', bar_start)) AS local_start FROM bars, (VALUES ('America/New_York'), ('Asia/Jerusalem')) v(zone)),
       s AS (SELECT *, strftime(local_start, '%H:%M:%S') AS clock, strftime(local_start, '%Y-%m-%d') AS session_date FROM z)
@@ -58,7 +58,7 @@ SQL = {
     "exact_duplicates": f"""{EVENTS}, both_runs AS (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE bar_start < TIMESTAMP '2024-01-15 00:00:00')
       SELECT symbol, pattern_id, copies, count(*) AS n FROM (SELECT symbol, bar_index, pattern_id, status, bias, bar_start, count(*) AS copies FROM both_runs GROUP BY ALL) GROUP BY ALL""",
     "event_history": f"""{JUDGED}, placed AS (SELECT symbol, bar_start, kind, pattern_id, name, state, since, row_number() OVER (PARTITION BY symbol ORDER BY since DESC, name, bar_index, kind, bias) AS place
-        FROM judged JOIN (SELECT symbol, bar_start, kind, since FROM states) USING (symbol, bar_start, kind)) SELECT * FROM placed WHERE place <= 10""",
+        FROM judged) SELECT * FROM placed WHERE place <= 10""",
     "bar_labels": f"""WITH {BARS}, z AS (SELECT symbol, bar_start, timezone('America/New_York', timezone('UTC', bar_start)) AS t FROM bars),
       o AS (SELECT *, date_diff('minute', bar_start, t) AS m FROM z), p AS (SELECT *, CASE WHEN m < 0 THEN '-' ELSE '+' END || lpad((abs(m) // 60)::VARCHAR, 2, '0') AS h, lpad((abs(m) % 60)::VARCHAR, 2, '0') AS r FROM o)
       SELECT symbol, bar_start, strftime(t, '%Y-%m-%dT%H:%M') || h || ':' || r AS iso, strftime(t, '%Y-%m-%d %H:%M:%S') || h || r || ' America/New_York' AS display, strftime(t, '%Y-%m-%d %H:%M') || ' America/New_York' AS compact FROM p""",

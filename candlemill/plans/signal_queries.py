@@ -1,10 +1,10 @@
-"""Queries over the events of the candle, rejection and break detectors; doubles are not among them."""
+"""Queries over events: of the candle, rejection and break detectors, and, where events are judged, of doubles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, lifecycle, score, signals, trend
+from ..operators import features, lifecycle, related, score, signals, trend
 from ..operators.reuse import settled
 from ..sources.bars import bars_from_events, events
 from .bar_queries import INTERVAL, feats, rounded
@@ -41,8 +41,8 @@ def lifecycle_counts(spark, sf):
 
 def _judged(f):
     """f: settled features, which every branch reads."""
-    first = settled(signals.primaries(signals.all_events(f)))
-    return score.judged(f, first, settled(lifecycle.states(f, first)))
+    found = related.gathered(f)
+    return score.judged(f, found.first, settled(related.states(f, found)))
 
 
 def eligibility(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators.ranking import FAMILIES
 from ..operators.signals import WEIGHTS
 from .bar_sql import FEATURES
+from .double_sql import DOUBLES, FIRST_DOUBLES
 from .trend_sql import BREAKS, BROAD, REJECTIONS, TOLERANCE
 
 FAMILY = "CASE " + " ".join(f"WHEN pattern_id IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in FAMILIES.items()) + " ELSE 'other' END"
@@ -55,12 +56,27 @@ STATES = f"""{EVENTS}, b AS (WITH {FEATURES} SELECT symbol, bar_index, open, hig
       CASE WHEN level IS NOT NULL THEN CASE WHEN failed IS NOT NULL THEN failed WHEN lost IS NOT NULL THEN latest ELSE coalesce(rejected, retest, over, bar_index) END
         WHEN bad <= coalesce(good, bad) THEN bad ELSE coalesce(good, over, retest, bar_index) END AS since, retest FROM spent)"""
 JUDGED = f"""{STATES}, days AS (SELECT symbol, bar_index, (bar_start + INTERVAL '1 hour')::DATE AS day FROM (WITH {FEATURES} SELECT * FROM f)),
-  aged AS (SELECT a.*, state, s.last, CASE WHEN state IN ('retest_rejected', 'retest_pending', 'invalidated', 'failed_breakout', 'failed_breakdown', 'reclaimed') THEN since WHEN state = 'expired' THEN s.last ELSE a.bar_index END AS anchor FROM first a JOIN states s USING (symbol, bar_start, kind)),
+  deduped AS MATERIALIZED ({DOUBLES} SELECT * FROM deduped), tall AS (SELECT symbol, bar_index, close, atr, bar_range FROM b), ends AS (SELECT symbol, max(bar_index) AS last FROM b GROUP BY 1), {FIRST_DOUBLES},
+  dwhole AS (SELECT d.*, bar_start, 'structural:' || pattern_id || ':' || i2 || ':' || floor(neckline * 100 + 0.5)::BIGINT AS kind, coalesce(volume_strength >= 1, false) AS loud FROM deduped d JOIN (WITH {FEATURES} SELECT symbol, bar_index, bar_start, volume_strength FROM f) USING (symbol, bar_index)),
+  meetings AS (SELECT d.symbol, d.pattern_id, d.i1, d.i2, d.status, r.bar_index AS broken, r.bar_index >= i2 AND abs(r.zone - neckline) <= tol AS sure FROM dfirst d JOIN first r ON r.symbol = d.symbol AND r.pattern_id = CASE d.pattern_id WHEN 'double_top' THEN 'breakdown' ELSE 'breakout' END
+      WHERE d.status = 'confirmed' AND (abs(r.bar_index - confirmation) <= 1 AND r.bar_index >= i2 AND abs(r.zone - neckline) <= tol OR r.bar_index = d.bar_index AND abs(r.zone - neckline) <= greatest(abs(neckline) * 0.01, 0.5))),
+  stars AS (SELECT symbol, pattern_id, i1, i2, status, coalesce(min(broken) FILTER (WHERE sure), min(broken)) AS star FROM meetings GROUP BY ALL),
+  firsts AS (SELECT symbol, bar_start, bar_index, pattern_id, name, bias, status, strong, base, priority, specificity, max_age, loud, kind, zone, bar_index AS anchored, NULL::BIGINT AS star, NULL::DOUBLE AS own_strength FROM first
+    UNION ALL SELECT w.symbol, w.bar_start, w.bar_index, w.pattern_id, w.pattern_id, w.bias, w.status, false, 20, 2, 24, CASE w.status WHEN 'tentative' THEN 6 ELSE 16 END, w.loud, w.kind, w.neckline, CASE w.status WHEN 'tentative' THEN w.i2 ELSE w.bar_index END, star, w.strength
+      FROM dwhole w JOIN dfirst USING (symbol, pattern_id, i1, i2, status) LEFT JOIN stars USING (symbol, pattern_id, i1, i2, status)),
+  all_states AS (SELECT symbol, bar_start, kind, state, since, last FROM states UNION ALL SELECT symbol, bar_start, kind, state, since, last FROM dstates JOIN dwhole USING (symbol, pattern_id, i1, i2, status)),
+  aged AS (SELECT a.*, state, since, s.last, CASE WHEN state IN ('retest_rejected', 'retest_pending', 'invalidated', 'failed', 'failed_breakout', 'failed_breakdown', 'reclaimed') THEN since WHEN state = 'expired' THEN s.last ELSE anchored END AS anchor FROM firsts a JOIN all_states s USING (symbol, bar_start, kind)),
   dated AS (SELECT aged.*, last - anchor AS age, day, (SELECT max(day) FROM days d WHERE d.symbol = aged.symbol) AS last_day, status = 'tentative' AND state IN ('new', 'active', 'retested') AS pending FROM aged JOIN days ON days.symbol = aged.symbol AND days.bar_index = anchor),
   reasoned AS (SELECT *, CASE WHEN day <> last_day THEN 'outside current trading session' WHEN bias = 'Neutral' THEN 'informational only' WHEN pending OR state = 'directionally_confirmed' THEN CASE WHEN age > max_age THEN 'outside scoring horizon' END
-      WHEN state IN ('expired', 'invalidated') THEN state WHEN state LIKE 'failed%' THEN replace(state, '_', ' ') WHEN state = 'reclaimed' THEN 'level reclaimed' WHEN status = 'tentative' THEN 'unconfirmed structural pattern' WHEN age > max_age THEN 'outside scoring horizon' END AS reason FROM dated),
+      WHEN state IN ('expired', 'invalidated') THEN state WHEN state = 'failed' THEN 'failed pattern' WHEN state = 'awaiting_confirmation' THEN 'awaiting neckline confirmation' WHEN state LIKE 'failed%' THEN replace(state, '_', ' ') WHEN state = 'reclaimed' THEN 'level reclaimed' WHEN status = 'tentative' THEN 'unconfirmed structural pattern' WHEN age > max_age THEN 'outside scoring horizon' END AS reason FROM dated),
   worthy AS (SELECT *, CASE WHEN reason IS NULL THEN CASE bias WHEN 'Bullish' THEN 1 ELSE -1 END * pow(0.85::DOUBLE, age) ELSE 0 END AS unit FROM reasoned),
-  paid AS (SELECT *, unit * CASE WHEN pending THEN 1.5::DOUBLE ELSE base * CASE WHEN strong THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN status = 'tentative' THEN 0.5::DOUBLE ELSE 1 END END AS contribution, CASE WHEN loud AND NOT pending THEN unit * 2.5::DOUBLE ELSE 0 END AS vol FROM worthy),
+  weighty AS (SELECT *, unit * CASE WHEN pending THEN 1.5::DOUBLE ELSE base * CASE WHEN strong THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN status = 'tentative' THEN 0.5::DOUBLE ELSE 1 END END AS contribution, CASE WHEN loud AND NOT pending THEN unit * 2.5::DOUBLE ELSE 0 END AS vol FROM worthy),
+  voices AS MATERIALIZED (SELECT symbol, bias, coalesce(star, bar_index) AS hub, kind, pattern_id LIKE 'double%' AS twice, (-abs(contribution), age, CASE WHEN pattern_id LIKE 'double%' THEN 1 WHEN strong THEN 2 ELSE 0 END, kind) AS rank FROM weighty WHERE reason IS NULL AND (pattern_id LIKE 'double%' OR pattern_id LIKE 'break%')),
+  led AS (SELECT a.symbol, a.kind, a.hub FROM voices a WHERE NOT a.twice AND EXISTS (SELECT 1 FROM voices d WHERE d.twice AND d.symbol = a.symbol AND d.bias = a.bias AND d.hub = a.hub)
+    UNION ALL SELECT d.symbol, d.kind, d.hub FROM voices d WHERE d.twice AND EXISTS (SELECT 1 FROM voices o WHERE o.twice AND o.symbol = d.symbol AND o.bias = d.bias AND o.hub = d.hub AND o.rank < d.rank)
+      AND EXISTS (SELECT 1 FROM voices a WHERE NOT a.twice AND a.symbol = d.symbol AND a.bias = d.bias AND a.hub = d.hub AND NOT EXISTS (SELECT 1 FROM voices o WHERE o.twice AND o.symbol = d.symbol AND o.bias = d.bias AND o.hub = d.hub AND o.rank < a.rank))),
+  paid AS (SELECT w.* EXCLUDE (reason, contribution, vol), CASE WHEN l.symbol IS NULL THEN reason ELSE 'linked confirmation duplicate' END AS reason, CASE WHEN l.symbol IS NULL THEN contribution ELSE 0 END AS contribution, CASE WHEN l.symbol IS NULL THEN vol ELSE 0 END AS vol
+    FROM weighty w LEFT JOIN led l ON l.symbol = w.symbol AND l.kind = w.kind AND l.hub = coalesce(w.star, w.bar_index)),
   single AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol, bar_index, bias ORDER BY vol = 0, abs(contribution) DESC, priority, pattern_id) = 1 THEN vol ELSE 0 END AS volume FROM paid),
   {chains("(SELECT * FROM single WHERE reason IS NULL)", 0.006)},
   sized AS (SELECT symbol, bar_start, kind, count(*) OVER c AS members, max(abs(contribution)) OVER c AS best, row_number() OVER (PARTITION BY symbol, family, bias, cluster ORDER BY abs(contribution) DESC, bar_index, pattern_id) AS k FROM chained WINDOW c AS (PARTITION BY symbol, family, bias, cluster)),
@@ -72,7 +88,7 @@ SQL = {
     "market_assessment": f"""{JUDGED}, broad AS ({BROAD}), trends AS (SELECT b.symbol, arg_max(b.trend, b.bar_start) AS trend FROM broad b GROUP BY 1),
       live AS (SELECT * FROM judged WHERE reason IS NULL AND state IN ('new', 'active', 'retested', 'retest_pending', 'retest_rejected', 'directionally_confirmed')),
       newest AS (SELECT symbol, pattern_id AS newest_id, state AS newest_state, age AS newest_age FROM live QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY age, priority, bar_index, pattern_id, bias) = 1),
-      turns AS (SELECT symbol, bool_or(pattern_id IN ('bullish_pin_bar', 'hammer')) AS turns_up, bool_or(pattern_id = 'shooting_star') AS turns_down FROM live GROUP BY 1),
+      turns AS (SELECT symbol, bool_or(pattern_id IN ('bullish_pin_bar', 'hammer', 'double_bottom')) AS turns_up, bool_or(pattern_id IN ('shooting_star', 'double_top')) AS turns_down FROM live GROUP BY 1),
       sums AS (SELECT symbol, sum(greatest(contribution, 0)) AS bullish, sum(-least(contribution, 0)) AS bearish, sum(volume) AS volume, count(*) FILTER (WHERE reason IS NULL AND status = 'confirmed') AS confirmed FROM judged GROUP BY 1),
       merged AS (SELECT symbol, trend, coalesce(bullish, 0)::DOUBLE AS bullish, coalesce(bearish, 0)::DOUBLE AS bearish, coalesce(volume, 0)::DOUBLE AS volume, coalesce(confirmed, 0) AS confirmed, turns_up, turns_down, newest_id, newest_state, newest_age FROM trends LEFT JOIN sums USING (symbol) LEFT JOIN newest USING (symbol) LEFT JOIN turns USING (symbol)),
       netted AS (SELECT *, bullish - bearish AS p, bullish - bearish + volume + CASE trend WHEN 'Uptrend' THEN 12 WHEN 'Downtrend' THEN -12 ELSE 0 END AS net, CASE WHEN bullish > 0 AND bearish > 0 THEN least(bullish, bearish) / greatest(bullish, bearish) ELSE 0.0::DOUBLE END AS conflict FROM merged)

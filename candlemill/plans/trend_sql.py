@@ -101,7 +101,7 @@ BREAKS = f"""WITH RECURSIVE {FEATURES}, both_sides AS ({_side('breakout', 'Bulli
 
 def double_outcomes(top: bool, more: str = "") -> str:
     outer, down = ("greatest(p1, p2)", 1) if top else ("least(p1, p2)", -1)
-    inner = doubles(top)
+    inner = doubles(top, ", valley")
     return f"""WITH setups AS ({inner}), {FEATURES},
       s AS (SELECT u.*, {outer} AS edge, u.i2 + 2 AS known, {TOLERANCE.format(level='neckline')} AS tol, {TOLERANCE.format(level=outer)} AS edge_tol, (SELECT max(bar_index) FROM f l WHERE l.symbol = u.symbol) AS last
         FROM setups u JOIN f ON f.symbol = u.symbol AND f.bar_index = u.i2),

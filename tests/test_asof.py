@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from candlemill.operators import asof, assessment, signals, trend
+from candlemill.operators import asof, assessment, related, trend
 from candlemill.operators.reuse import settled
 from candlemill.plans import assessment_queries as plans
 from candlemill.plans.bar_queries import feats
@@ -26,9 +26,8 @@ def test_every_bar_equals_its_prefix(spark, features):
     names = [c for c in wanted.columns if c != "symbol"]
     plain = {r.symbol: r for r in wanted.collect()}
 
-    events = settled(signals.all_events(features))
     at = features.select("symbol").distinct().crossJoin(ends.withColumnRenamed("end", "as_of")).join(features.select("symbol", F.col("bar_index").alias("as_of")), ["symbol", "as_of"])
-    got = asof.assessed_at(features, events, settled(signals.primaries(events)), trend.broad(features).select("symbol", "bar_index", "trend"), plans._strengths(features), at).collect()
+    got = asof.assessed_at(features, related.gathered(features), trend.broad(features).select("symbol", "bar_index", "trend"), plans._strengths(features), at).collect()
     both = [(f"{r.symbol}|{r.as_of}", r) for r in got]
     assert {k for k, _ in both} == {k for k in plain if int(k.split("|")[1]) <= LAST and k in dict(both)} and len(both) >= 2 * 30
     told = 0
