@@ -16,6 +16,7 @@ PROFILES = [
     ("ASX", "XASX", "Australia/Sydney", "10:00", "16:00", "AUD"),
 ]
 FIELDS = ("exchange", "mic", "exchange_timezone", "session_start", "session_end", "currency")
+#: Exchange of each symbol suffix, other names of exchanges, time zone where none is known.
 SUFFIXES = {".TA": "TASE", ".L": "LSE", ".TO": "TSX", ".V": "TSX", ".AX": "ASX"}
 ALIASES = {"NMS": "NASDAQ", "NAS": "NASDAQ", "NASDAQGS": "NASDAQ", "NASDAQGM": "NASDAQ", "NASDAQCM": "NASDAQ", "NYQ": "NYSE", "ASE": "AMEX", "TLV": "TASE", "TLV STOCK EXCHANGE": "TASE"}
 DEFAULT_ZONE = "Asia/Jerusalem"
