@@ -8,7 +8,8 @@ import random
 import pytest
 
 import __spark_entry__
-from candlemill.operators import detectors, features
+from candlemill.config import EvaluationConfig
+from candlemill.operators import detectors, evaluate, features
 from candlemill.sources.bars import bars_from_events
 
 START = dt.datetime(2024, 1, 1)
@@ -64,3 +65,12 @@ def test_lows_of_zero_are_no_double(spark, table):
 @pytest.mark.parametrize("name", ["double_bottom_setups", "double_events", "double_bottom", "structural_dedup", "structural_states", "linked_breaks", "market_assessment", "rule_confidence", "score_reconciliation", "exclusion_reasons", "evidence_categories", "top_patterns"])
 def test_zero_prices_against_sql(spark, table, name):
     same_as_sql(spark, table, name)
+
+
+def test_outcomes_from_a_close_of_zero(spark):
+    """What is gained on nothing is infinite, as in the SQL."""
+    bars = spark.createDataFrame([("S", START + dt.timedelta(hours=i), i, x + 1, x, x) for i, x in enumerate((0.0, 2.0, 0.0, 0.0, 5.0))], "symbol string, bar_start timestamp_ntz, bar_index int, high double, low double, close double")
+    signals = bars.selectExpr("symbol", "bar_start", "bar_index", "'p' AS pattern_id", "'Bearish' AS bias").filter("bar_index IN (0, 1, 2)")
+    got = {r.bar_index: r for r in evaluate.outcomes(bars, signals, EvaluationConfig(horizons=(1,))).collect()}
+    assert (got[0].directional_return, got[0].mfe, got[0].mae) == (-math.inf, -math.inf, -math.inf)
+    assert got[1].directional_return == 1.0 and math.isnan(got[2].directional_return) and got[2].mae == -math.inf
