@@ -62,7 +62,7 @@ def test_lows_of_zero_are_no_double(spark, table):
     assert {(r.neckline, r.depth) for r in setups if r.symbol == "c"} == {(0.0, math.inf)}
 
 
-@pytest.mark.parametrize("name", ["double_bottom_setups", "double_events", "double_bottom", "structural_dedup", "structural_states", "linked_breaks", "market_assessment", "rule_confidence", "score_reconciliation", "exclusion_reasons", "evidence_categories", "top_patterns", "final_assessment", "confirmation_fields", "event_history"])
+@pytest.mark.parametrize("name", ["double_bottom_setups", "double_events", "double_bottom", "structural_dedup", "structural_states", "linked_breaks", "market_assessment", "rule_confidence", "score_reconciliation", "exclusion_reasons", "evidence_categories", "top_patterns", "final_assessment", "confirmation_fields", "event_history", "eligibility"])
 def test_zero_prices_against_sql(spark, table, name):
     same_as_sql(spark, table, name)
 
