@@ -74,3 +74,10 @@ def test_outcomes_from_a_close_of_zero(spark):
     got = {r.bar_index: r for r in evaluate.outcomes(bars, signals, EvaluationConfig(horizons=(1,))).collect()}
     assert (got[0].directional_return, got[0].mfe, got[0].mae) == (-math.inf, -math.inf, -math.inf)
     assert got[1].directional_return == 1.0 and math.isnan(got[2].directional_return) and got[2].mae == -math.inf
+
+
+def test_signals_asof_over_zero_prices(spark, table):
+    """One row for each signal of the query that has SQL."""
+    keys = lambda name: collections.Counter((r.symbol, r.bar_start, r.kind, r.pattern_id) for r in __spark_entry__.queries()[name](spark, table).collect())
+    known = keys("historical_signals")
+    assert known and keys("signals_asof") == known
