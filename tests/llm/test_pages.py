@@ -83,3 +83,33 @@ def test_teasers_and_open_menus():
     assert html_text.page_lines("<nav><p>menu<article><p>text</p></article>") == (["text"], True)
     assert html_text.page_lines("<aside><article>teaser</article></aside><main><p>text</p></main><nav>x</nav>") == (["text"], True)
     assert html_text.page_lines("<menu><li>a<main>text</main><menu>b</menu>") == (["text"], True)
+
+
+def test_differencing_decides_on_a_short_article(spark):
+    """A menu that holds more than the article is known by the page beside it, though one line of it is made anew; so is an article that two pages print."""
+    menu = "".join(f"<p>entry {i} of a long menu that stands on all pages</p>" for i in range(9))
+    rows = [(i, f"http://a.example/{i}", f"<body><div>{menu}<p>seen {i}</p></div><article><p>short text {i}</p><p>more of it {i}</p><p>still {i}</p><p>and its end</p></article></body>") for i in range(4)]
+    rows += [(9 + i, f"http://b.example/{i}", f"<body><p>unlike {i} * {i}</p><main><p>a text that is printed twice</p><p>its own line {i}</p></main><p>{'-' * 20} {i}</p></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"short text {i}\nmore of it {i}\nstill {i}\nand its end" for i in range(4)} | {9 + i: f"a text that is printed twice\nits own line {i}" for i in range(2)}
+
+
+def test_all_pages_against_a_plain_version(spark, monkeypatch):
+    """Pages with and without an article, in blocks of any length; those that repeat are beside themselves."""
+    import random
+
+    rng, word = random.Random(8), lambda: rng.choice(("site", "menu", "news", "about", "imprint", "a longer line of words", "end"))
+    lines = lambda n: "".join(f"<p>{word()}</p>" for _ in range(rng.randint(0, n)))
+    rows = [(i, f"http://{rng.choice('ab')}.example/{rng.randint(0, 3)}/{i % 40}", f"<body>{lines(8)}" + (f"<article>{lines(5)}</article>" if i % 3 else "") + f"{lines(3)}</body>") for i in range(90)]
+    order, want = sorted(rows, key=lambda r: (r[1][7:16], r[1][16:], r[0])), {}
+    parsed = []
+    for _, url, body in order:
+        blocks = html_text.page_blocks(body)
+        parsed.append((url[7:16], url[16:], [line for _, line in blocks], [x for x, _ in blocks]))
+    for at, (host, path, own, main) in enumerate(parsed):
+        near = [{"step": k, "path": parsed[at + k][1], "hashes": parsed[at + k][2]} for k in range(-3, 4) if k and 0 <= at + k < len(parsed) and parsed[at + k][0] == host]
+        want[order[at][0]] = "\n".join(own[i] for i in html_text.kept_lines(path, own, main, [len(x) for x in own], near))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for length in (4, 1024):
+        monkeypatch.setattr(html_text, "BLOCK", length)
+        assert {r.page_id: r.text for r in html_text.main_text(table).collect()} == want
